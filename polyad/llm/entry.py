@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from polyad.llm.bpe import op5_bpe
 from polyad.llm.packing import op8_packing
+from polyad.llm.simhash import op10_simhash
 
 QUERIES = {
     "op5_bpe": op5_bpe,
     "op8_packing": op8_packing,
+    "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
