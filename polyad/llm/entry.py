@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from polyad.llm.bpe import op5_bpe
 from polyad.llm.packing import op8_packing
+from polyad.llm.quality import op3_quality
 from polyad.llm.simhash import op10_simhash
 from polyad.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,

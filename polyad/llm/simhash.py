@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.llm.common import WORD, ascii_lower, materialize, table
+from polyad.llm.common import materialize, table
 from polyad.llm.components import components
 
 BITS = 64
@@ -45,13 +45,13 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """As an unsigned integer."""
     from xxhash import xxh64_intdigest
 
-    found = WORD.findall(ascii_lower(text or ""))
+    found = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
     if not found:
         return 0
     if len(found) < words:
-        shingles = [" ".join(found)]
+        shingles = [b" ".join(found)]
     else:
-        shingles = map(" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+        shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
     hashes = np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8")
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
