@@ -146,7 +146,7 @@ def _filled(cells: list[tuple[int, int]], n: int) -> np.ndarray:
 class Rules:
     """Judges one text; limits are base + slack / sqrt(words)."""
 
-    def __init__(self, known: dict, min_words: int = 50, class_limit: tuple[float, float] = (0.20, 0.8), word_limit: tuple[float, float] = (0.28, 1.2)):
+    def __init__(self, known: dict, min_words: int = 50, class_limit: tuple[float, float] = (0.20, 0.9), word_limit: tuple[float, float] = (0.15, 1.7)):
         self.known, self.min_words, self.class_limit, self.word_limit = known, min_words, class_limit, word_limit
 
     def __call__(self, text: str | None, lang: str | None) -> tuple:
