@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from polyad.llm.bpe import op5_bpe
+from polyad.llm.lattice import op9_lattice
 from polyad.llm.packing import op8_packing
 from polyad.llm.quality import op3_quality
 from polyad.llm.simhash import op10_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_packing": op8_packing,
+    "op9_lattice": op9_lattice,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
