@@ -7,7 +7,8 @@ piece are spelt in byte pieces. A document ends with an end symbol, one of the o
 
 The vocabulary is given. Its scores order the pieces and start the weights; the weights themselves are those
 of the training documents: expected piece counts over all segmentations of every training word, times the
-word's count, in `rounds` rounds of expectation-maximisation, with `floor` added to each count.
+word's count, with `floor` added to each. They depend on the weights before, so `warm` rounds of
+expectation-maximisation over the frequent words (see below) precede the round over all words.
 
 Beside the model's score stands that of add-one word counts. Their table grows with the corpus, so it is not
 sent around whole: words that make up at least 1/2**18 of all training tokens (no more than 2**18 of them)
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.llm.common import materialize, table
+from polyad.llm.common import materialize, shuffle_partitions, table
 from polyad.llm.tokenizer import default_path
 
 FREQUENT = 1 << 18
@@ -149,7 +150,7 @@ def word_counts(texts: DataFrame, most: int = 250_000) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(counts: DataFrame, documents: int, path: str, rounds: int = 2, floor: float = 0.1) -> tuple[list[str], list[float], float]:
+def train(counts: DataFrame, frequent: DataFrame, documents: int, path: str, warm: int = 3, floor: float = 0.1) -> tuple[list[str], list[float], float]:
     """Pieces, logs of their probabilities and that of the end symbol."""
     names, weights = vocabulary(path)
 
@@ -158,7 +159,7 @@ def train(counts: DataFrame, documents: int, path: str, rounds: int = 2, floor:
         return [math.log(v) - total for v in values], math.log(end) - total
 
     logs, end = normal(weights, 1.0)
-    for _ in range(rounds if documents else 0):
+    for words in [*[frequent] * warm, counts] if documents else []:
 
         def run(batches, logs=logs):
             lattice, expected = Lattice(names, logs), [0.0] * len(names)
@@ -169,13 +170,13 @@ def train(counts: DataFrame, documents: int, path: str, rounds: int = 2, floor:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([expected[i] for i in at], pa.float64())], ["at", "v"])
 
         values = [floor] * len(names)
-        for row in counts.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        for row in words.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
             values[row.at] += row.v
         logs, end = normal(values, float(documents))
     return names, logs, end
 
 
-def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", warm: int = 3) -> DataFrame:
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)` for every row."""
     path = path or default_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out_col(id_col).alias("held_out"))
@@ -185,8 +186,10 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = sums.n + documents, sums.v + (documents > 0)
     share = math.log10(n + v + 1)
-    frequent = {r.word: r.c for r in counts.where(F.col("c") * FREQUENT >= max(n, 1)).where("c > 1").collect()}  # no more than FREQUENT, as they sum to n at most
-    names, logs, end = train(counts, documents, path, rounds)
+    often = counts.where(F.col("c") * FREQUENT >= max(n, 1)).where("c > 1")  # no more than FREQUENT, as they sum to n at most
+    often = materialize(often.repartition(shuffle_partitions(docs.sparkSession)), "frequent")
+    frequent = {r.word: r.c for r in often.collect()}
+    names, logs, end = train(counts, often, documents, path, warm)
     session = docs.sparkSession.sparkContext
     sent = session.broadcast((frequent, logs, end))
 
