@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from polyad.llm.bpe import op5_bpe
+from polyad.llm.imatch import op1_imatch
 from polyad.llm.lattice import op9_lattice
 from polyad.llm.packing import op8_packing
 from polyad.llm.quality import op3_quality
@@ -10,6 +11,7 @@ from polyad.llm.simhash import op10_simhash
 from polyad.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
+    "op1_imatch": op1_imatch,
     "op5_bpe": op5_bpe,
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
