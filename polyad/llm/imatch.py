@@ -120,7 +120,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document = F.struct("key", "guest", "n_chars", "edited_sha256", *whole)
     # each term once, with the texts it is in (1 own, 2 edited, 3 both); the document itself rides on a last element
     nothing = F.lit(None).cast(termed.select(document.alias("d")).schema["d"].dataType)
-    cells = [F.transform(f, lambda h, k=k: F.struct(h.alias("h"), F.lit(k).alias("where"), nothing.alias("doc"))) for f, k in ((F.array_except("own", "new"), 1), (F.array_except("new", "own"), 2), (F.array_intersect("own", "new"), 3))]
+
+    def cell_of(where: int):
+        return lambda h: F.struct(h.alias("h"), F.lit(where).alias("where"), nothing.alias("doc"))
+
+    cells = [F.transform(found, cell_of(where)) for found, where in ((F.array_except("own", "new"), 1), (F.array_except("new", "own"), 2), (F.array_intersect("own", "new"), 3))]
     last = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("where"), document.alias("doc")))
     cell = termed.select("bucket", "at", F.explode(F.concat(*cells, last)).alias("c")).select("bucket", "at", "c.*")
     few = kept.count() <= most_sent
