@@ -9,14 +9,19 @@ from polyad.llm.packing import op8_packing
 from polyad.llm.quality import op3_quality
 from polyad.llm.simhash import op10_simhash
 from polyad.llm.suffix_dedup import op4_suffix_dedup
+from polyad.llm.tool_calls import ORACLE as OP6_SQL
+from polyad.llm.tool_calls import op6_tool_calls
+from polyad.llm.urls import op7_urls
 
 QUERIES = {
     "op1_imatch": op1_imatch,
     "op5_bpe": op5_bpe,
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_tool_calls": op6_tool_calls,
+    "op7_urls": op7_urls,
     "op8_packing": op8_packing,
     "op9_lattice": op9_lattice,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_tool_calls": OP6_SQL}
