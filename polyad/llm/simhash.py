@@ -59,15 +59,20 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """`(doc_id, fp)`; fp is the fingerprint as a signed 64-bit integer."""
+    """`(doc_id, h, fp)`; fp is the fingerprint as a signed 64-bit integer, h a hash of the text."""
 
     def run(batches):
         for batch in batches:
-            found = [_signed(fingerprint(text.as_py(), words, seed)) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [_signed(fingerprint(text.as_py(), words, seed)) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 def _together(nodes: DataFrame) -> np.ndarray:
@@ -160,43 +165,57 @@ def _flips(bits: list[int], most: int, least: int = 0) -> list[int]:
 
 
 def links(nodes: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
-    """Edges `(a, b)` among `nodes(fp, node)`, fp distinct, that join all within `max_bits` bits of each other."""
+    """Edges `(a, b)` among the distinct fingerprints `nodes(fp)` that join all within `max_bits` bits of each other."""
     chosen = plan(nodes, max_bits)
     own = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("v")) for i, (bits, _) in enumerate(chosen)])).alias("c")
-    index = nodes.select("fp", "node", own).select("c.i", "c.v", "fp", "node")
+    index = nodes.select("fp", own).select("c.i", "c.v", "fp")
     crowded = index.groupBy("i", "v").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("i", "v")
     crowded = materialize(crowded, "crowded")
     none = crowded.isEmpty()
     probes = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).bitwiseXOR(F.lit(x)).alias("v")) for i, (bits, t) in enumerate(chosen) for x in _flips(bits, t)]
-    probe = nodes.select("fp", "node", F.explode(F.array(*probes)).alias("c")).select("c.i", "c.v", "fp", "node") if len(probes) > len(chosen) else index
+    probe = nodes.select("fp", F.explode(F.array(*probes)).alias("c")).select("c.i", "c.v", "fp") if len(probes) > len(chosen) else index
     rest, asked = (index, probe) if none else (index.join(crowded, ["i", "v"], "left_anti"), probe.join(crowded, ["i", "v"], "left_anti"))
     met = rest.alias("x").join(asked.alias("y"), ["i", "v"]).where("x.fp < y.fp" if probe is index else "x.fp != y.fp")
-    found = met.where(F.bit_count(F.expr("x.fp ^ y.fp")) <= max_bits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    found = met.where(F.bit_count(F.expr("x.fp ^ y.fp")) <= max_bits).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     if none:
         return found
-    hot = probe.join(crowded, ["i", "v"], "left_semi").select("fp", "node").distinct()
+    hot = probe.join(crowded, ["i", "v"], "left_semi").select("fp").distinct()
     radius = (max_bits + 1) // 2
     flips = F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in _flips(list(range(BITS)), radius)])
-    under = hot.select("node", "fp", F.explode(flips).alias("v")).groupBy("v").agg(F.collect_list(F.struct("node", "fp")).alias("members")).where(F.size("members") > 1)
+    under = hot.select("fp", F.explode(flips).alias("v")).groupBy("v").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     if max_bits % 2 == 0:  # all under one entry are within 2 * radius = max_bits of each other
-        star = under.select(F.explode("members.node").alias("a"), F.array_min("members.node").alias("b"))
+        star = under.select(F.explode("members").alias("a"), F.array_min("members").alias("b"))
     else:
-        star = under.select("members", F.explode("members").alias("m")).select(F.col("m.node").alias("a"), F.explode(F.expr("transform(filter(members, x -> bit_count(x.fp ^ m.fp) <= %d), x -> x.node)" % max_bits)).alias("b"))
+        star = under.select("members", F.explode("members").alias("a")).select("a", F.explode(F.expr(f"filter(members, x -> bit_count(x ^ a) <= {max_bits})")).alias("b"))
     return found.unionAll(star.where("a != b"))
 
 
+def _named(marked: DataFrame, max_bits: int) -> DataFrame:
+    """`(fp, one)` for each distinct fingerprint: the least (doc_id, h) of its component."""
+    nodes = materialize(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least")), "nodes")
+    found = components(links(nodes.select("fp"), max_bits))
+    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = materialize(named, "named")
+    return named.join(named.groupBy("component").agg(F.min("least").alias("one")), "component").select("fp", "one")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """`(doc_id, fingerprint, component_id)` for every row."""
     marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("node")), "nodes")
-    found = components(links(nodes, max_bits))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return marked.join(named, "fp").select(
-        "doc_id",
+    return marked.join(materialize(_named(marked, max_bits), "components"), "fp").select(
+        F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.nullif("component", F.lit(_LAST)).alias("component_id"),
+        F.nullif("one.doc_id", F.lit(_LAST)).alias("component_id"),
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are the first of their group by id and then text hash; of repeated rows one."""
+    marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    first = materialize(_named(marked, max_bits).select("one").distinct(), "first").select(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
+    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
+    return keyed.join(first.hint("shuffle_merge"), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))

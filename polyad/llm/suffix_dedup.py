@@ -363,7 +363,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(data).alias("h"), data.alias("data"))
 
 
-def repeated(texts: DataFrame, length: int = 200, crowd: int = 2000) -> DataFrame:
+def repeated(texts: DataFrame, length: int = 200, crowd: int = 20_000) -> DataFrame:
     """`(doc_id, h, found)`: for `texts(doc_id, h, data)` the ranges of starts of repeated windows."""
     spark = texts.sparkSession
     anchors = materialize(_anchors(texts, length), "anchors")
