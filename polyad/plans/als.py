@@ -338,6 +338,8 @@ def cp_concurrent(x: DataFrame, meta: S.TensorMeta, models: DataFrame, params: P
         raise ValueError("a tensor has three modes at least")
     if (where or strategy(meta.n_elements)) == "local":
         return _local(x, meta, models, params, groups=None)
+    import pandas as pd
+
     held = slabs(x, meta).persist()
     squares = {}
     for m in range(len(meta.modes)):
@@ -354,7 +356,8 @@ def cp_concurrent(x: DataFrame, meta: S.TensorMeta, models: DataFrame, params: P
     product = slab_product(held, meta, params.mttkrp_method)
     done, _ = fit_fused(product, specs, params, len(meta.modes), float(np.sqrt(total)), lambda m, f: float(np.sqrt(max(total - squares.get((m, f), 0.0), 0.0))), explicit)
     held.unpersist()
-    return x.sparkSession.createDataFrame(result_rows(done), RESULT)
+    rows = [[None if v is None or v is pd.NA else v for v in row] for row in result_rows(done).itertuples(index=False)]
+    return x.sparkSession.createDataFrame(rows, RESULT)
 
 
 def cp_als_many(x: DataFrame, meta: S.TensorMeta, models: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
