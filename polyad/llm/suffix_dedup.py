@@ -368,7 +368,9 @@ def repeated(texts: DataFrame, length: int = 200, crowd: int = 20_000) -> DataFr
     spark = texts.sparkSession
     anchors = materialize(_anchors(texts, length), "anchors")
     by_anchor = anchors.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    shared = materialize(anchors.join(by_anchor.select("k", (F.col("c0") == F.col("c1")).alias("same")), "k"), "shared")
+    # written first, so that both sides of the join are plain exchanges, which adaptive execution can split at a hot anchor
+    by_anchor = materialize(by_anchor.select("k", (F.col("c0") == F.col("c1")).alias("same")), "hashes")
+    shared = materialize(anchors.join(by_anchor, "k"), "shared")
     mixed = shared.where("not same")
     runs = materialize(mixed.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "s", "e")).alias("one")), "runs")
     crowds = runs.groupBy("k").agg(F.count("*").alias("d")).where(F.col("d") > crowd).select("k", F.lit(True).alias("crowded"))
