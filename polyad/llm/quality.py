@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.llm.common import table
+from polyad.llm.common import materialize, table
 
 FUNCTION_WORDS = {
     "en": "the of and to a in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has",
@@ -123,7 +123,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     found = docs.selectExpr(f"cast(`{lang_col}` as string) lang", f"cast(`{text_col}` as string) text").mapInArrow(run, "lang string, kind string, sums array<bigint>, n bigint")
     parts = found.select("lang", "kind", "n", F.posexplode("sums").alias("at", "v"))
     # a sum for each language and slot, with partial sums before the exchange
-    summed = parts.groupBy("lang", "kind", "at").agg(F.sum("v").alias("v"), F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n"))
+    summed = materialize(parts.groupBy("lang", "kind", "at").agg(F.sum("v").alias("v"), F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n")), "sums")
     whole = summed.where("kind = 'c'").groupBy("at").agg(F.sum("v").alias("v")).collect()
     top = summed.where("kind = 'c' and at = 0").orderBy(F.desc("n"), "lang").limit(most_languages).select(F.col("lang").alias("kept"), F.col("n").alias("words"))
     out: dict = {"": (_filled([(r.at, r.v) for r in whole], CLASSES), None)}
