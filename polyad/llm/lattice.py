@@ -10,9 +10,11 @@ of the training documents: expected piece counts over all segmentations of every
 word's count, with `floor` added to each. They depend on the weights before, so `warm` rounds of
 expectation-maximisation over the frequent words (see below) precede the round over all words.
 
-Beside the model's score stands that of add-one word counts. Their table grows with the corpus, so it is not
-sent around whole: words that make up at least 1/2**18 of all training tokens (no more than 2**18 of them)
-go to every worker; the others, which are rare and so have no hot key, are joined.
+Each distinct word is scored once. Beside the model's score stands that of add-one word counts. The table of
+words grows with the corpus, so it is not sent around whole: words that make up at least 1/2**18 of all
+training tokens (no more than 2**18 of them) go to every worker; the others, which are rare and so have no
+hot key, are joined. (A word that is frequent in held-out documents alone is joined as well; adaptive
+execution splits such a key.)
 
 Defined results: a null text counts as empty: one token, the end; repeated rows are scored each for itself
 and all train; a null id trains; without training documents all weights are those of the vocabulary's order,
@@ -53,8 +55,6 @@ def vocabulary(path: str) -> tuple[list[str], list[float]]:
 class Lattice:
     """Scores words; `logs` are natural logarithms of the pieces' probabilities."""
 
-    MOST_CACHED = 400_000
-
     def __init__(self, names: list[str], logs: list[float]):
         self.edges: dict[str, tuple[int, float] | None] = {}
         self.bytes: list[tuple[int, float]] = [(0, 0.0)] * 256
@@ -65,7 +65,6 @@ class Lattice:
             for end in range(1, len(name)):
                 self.edges.setdefault(name[:end], None)
             self.edges[name] = (i, log)
-        self.known: dict[str, float] = {}
 
     def forward(self, text: str) -> tuple[list[float], list[list]]:
         """Log probabilities of all prefixes, and for each end the edges (start, pieces, log) that reach it."""
@@ -98,12 +97,7 @@ class Lattice:
 
     def word(self, word: str) -> float:
         """Natural logarithm of a word's marginal probability."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= self.MOST_CACHED:
-                self.known.clear()
-            found = self.known[word] = self.forward(_MARK + word)[0][-1]
-        return found
+        return self.forward(_MARK + word)[0][-1]
 
     def expect(self, word: str, count: float, into_counts: list[float]) -> None:
         """Add the expected piece counts of a word that occurs `count` times."""
@@ -129,8 +123,8 @@ def held_out_col(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def word_counts(texts: DataFrame, most: int = 250_000) -> DataFrame:
-    """`(word, c)` over a column `text`."""
+def word_counts(rows: DataFrame, most: int = 250_000) -> DataFrame:
+    """`(word, c)` for all words of `rows(text, held_out)`; c counts in the rows that train and may be 0."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -141,13 +135,32 @@ def word_counts(texts: DataFrame, most: int = 250_000) -> DataFrame:
             return rows
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update((text.as_py() or "").encode().lower().split())
+            for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = (text.as_py() or "").encode().lower().split()
+                if held:
+                    for word in words:
+                        if word not in counts:
+                            counts[word] = 0
+                else:
+                    counts.update(words)
                 if len(counts) >= most:
                     yield taken()
         yield taken()
 
-    return texts.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("text", "held_out").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def word_scores(words: DataFrame, path: str, logs: list[float]) -> DataFrame:
+    """`words(word, c)` with `p`, the natural logarithm of each word's marginal probability: once for each distinct word."""
+    names = vocabulary(path)[0]
+
+    def run(batches):
+        lattice = Lattice(names, logs)
+        for batch in batches:
+            found = [lattice.word(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["word", "c", "p"])
+
+    return words.select("word", "c").mapInArrow(run, "word string, c bigint, p double")
 
 
 def train(counts: DataFrame, frequent: DataFrame, documents: int, path: str, warm: int = 3, floor: float = 0.1) -> tuple[list[str], list[float], float]:
@@ -180,23 +193,21 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)` for every row."""
     path = path or default_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out_col(id_col).alias("held_out"))
-    training = rows.where("not held_out")
-    counts = materialize(word_counts(training), "words")
-    documents = training.count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    words = materialize(word_counts(rows), "words")
+    documents = rows.where("not held_out").count()
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = sums.n + documents, sums.v + (documents > 0)
     share = math.log10(n + v + 1)
-    often = counts.where(F.col("c") * FREQUENT >= max(n, 1)).where("c > 1")  # no more than FREQUENT, as they sum to n at most
-    often = materialize(often.repartition(shuffle_partitions(docs.sparkSession)), "frequent")
-    frequent = {r.word: r.c for r in often.collect()}
-    names, logs, end = train(counts, often, documents, path, warm)
+    common = (F.col("c") * FREQUENT >= max(n, 1)) & (F.col("c") > 1)  # no more than FREQUENT words, as they sum to n at most
+    often = materialize(words.where(common).repartition(shuffle_partitions(docs.sparkSession)), "frequent")
+    _, logs, end = train(words.where("c > 0"), often, documents, path, warm)
+    known = materialize(word_scores(words, path, logs), "scores")
+    frequent = {r.word: (r.c, r.p) for r in known.where(common).collect()}
     session = docs.sparkSession.sparkContext
-    sent = session.broadcast((frequent, logs, end))
+    sent = session.broadcast(frequent)
 
     def run(batches):
-        often, logs, end = sent.value
-        lattice = Lattice(vocabulary(path)[0], logs)
-        base_of = {w: math.log10(c + 1) - share for w, c in often.items()}
+        known_of = {w: (math.log10(c + 1) - share, p) for w, (c, p) in sent.value.items()}
         row_id = TaskContext.get().partitionId() << 33
         columns: list[list] = [[] for _ in range(4)]
 
@@ -208,7 +219,6 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
                 c.clear()
             return out
 
-        word_of = lattice.word
         for batch in batches:
             for doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = Counter((text.as_py() or "").encode().lower().decode().translate(_SPACES).split(" "))
@@ -217,15 +227,15 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
                 base, total = math.log10(documents + 1) - share, end
                 for word, times in words.items():
                     tokens += times
-                    total += times * word_of(word)
-                    found = base_of.get(word)
+                    found = known_of.get(word)
                     if found is None:
                         columns[0].append(word)
                         columns[1].append(row_id)
                         columns[2].append(times)
                         columns[3].append(None)
                     else:
-                        base += times * found
+                        base += times * found[0]
+                        total += times * found[1]
                         known += times
                 # a key of its own that no word can have: the document's sums travel with its rare words
                 columns[0].append(f"\n{row_id}")
@@ -238,14 +248,14 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         yield taken()
 
     parts = rows.select("doc_id", "text", "held_out").mapInArrow(run, "word string, row bigint, n bigint, doc struct<doc_id: bigint, held_out: boolean, tokens: bigint, known: bigint, base: double, score: double>")
-    joined = parts.join(counts.hint("shuffle_merge"), "word", "left")
+    joined = parts.join(known.hint("shuffle_merge"), "word", "left")
     per_row = joined.groupBy("row").agg(
         F.max("doc.doc_id").alias("doc_id"),
         F.max("doc.held_out").alias("held_out"),
         F.sum("doc.tokens").alias("n_tokens"),
         (F.sum("doc.known") + F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
         (F.sum("doc.base") + F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - share))).alias("base_score"),
-        F.sum("doc.score").alias("score"),
+        (F.sum("doc.score") + F.sum(F.col("n") * F.coalesce("p", F.lit(0.0))) / math.log(10)).alias("score"),
     )
     return per_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
