@@ -5,6 +5,8 @@ from __future__ import annotations
 from polyad.llm.bpe import op5_bpe
 from polyad.llm.imatch import op1_imatch
 from polyad.llm.lattice import op9_lattice
+from polyad.llm.licences import op2_licences
+from polyad.llm.licences import oracle as op2_sql
 from polyad.llm.packing import op8_packing
 from polyad.llm.quality import op3_quality
 from polyad.llm.simhash import op10_simhash
@@ -16,6 +18,7 @@ from polyad.llm.urls import op7_urls
 QUERIES = {
     "op1_imatch": op1_imatch,
     "op5_bpe": op5_bpe,
+    "op2_licences": op2_licences,
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_tool_calls": op6_tool_calls,
@@ -24,4 +27,4 @@ QUERIES = {
     "op9_lattice": op9_lattice,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op6_tool_calls": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_licences": op2_sql(), "op6_tool_calls": OP6_SQL}

@@ -234,3 +234,30 @@ def test_tool_calls(spark):
     assert got[1, 1].message == '{"arguments":{"text":"say \\"hi\\"\\n","turn":1},"id":"turn-1","name":"ask","role":"user"}'
     assert got[2, 1].message == '{"content":"early","role":"tool","tool_call_id":"c1"}'
     assert tool_calls.link(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def test_licences(spark):
+    import duckdb
+
+    from polyad.llm import licences
+
+    texts = [
+        ISC, ISC.upper().replace(",", " ,\n"), "ISC Licence\n\nCopyright (c) 2020, A & B\n© 2021 C\n\n" + ISC, "x " + ISC, None, "", "!?\n", "© me",
+        "Released under the MIT Licence", "released — under “the” MIT license!", "Copyright lines\ncopyright 1\nÉté & naïve – tests\r\n(c) x", "a\nlabelled programme & https", "ſ İ K",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (0, ISC)], "doc_id bigint, text string").withColumn("licence", F.lit("clash"))
+    got = sorted(map(tuple, licences.scan(docs).collect()), key=str)
+    want = sorted(((i, len(licences.canonical_text(t)), licences.digest(t), dict(licences.KNOWN).get(licences.digest(t))) for i, t in [*enumerate(texts), (0, ISC)]), key=str)
+    assert got == want
+    assert [r[3] for r in sorted({(r[0], r[3]) and r for r in got}, key=lambda r: r[0])][:4] == ["ISC", "ISC", "ISC (titled)", None]
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
+    assert sorted(duckdb.sql(licences.oracle()).fetchall(), key=str) == want
+    listed = spark.createDataFrame([(licences.digest("a"), "z"), (licences.digest("a"), "b")], "digest string, licence string")
+    one = spark.createDataFrame([(1, "A!")], "doc_id bigint, text string")
+    assert licences.scan(one, listed).first().licence == licences.scan(one, listed, most_sent=0).first().licence == "b"
+    assert licences.scan(docs.limit(0)).count() == 0
