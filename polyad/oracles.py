@@ -271,4 +271,11 @@ ORACLES = {
     "report_pivot": sql([], f"SELECT method, {', '.join(r(f'max(CASE WHEN iter = {k} THEN total END)', 2) + f' AS r{k}' for k in (1, 2, 3))}, {r('sum(total)', 2)} AS total FROM h WHERE iter <= 3 GROUP BY method", [HIST]),
     "report_fit_difference": sql([], f"SELECT CAST(substr(method, 1, 1) AS INT) AS model_id, iter, {r('total / 1e6', 6)} AS fit, {r('abs(coalesce(lag(total / 1e6) OVER (PARTITION BY method ORDER BY iter), 0) - total / 1e6)', 6)} AS fit_diff FROM h", [HIST]),
 }
+ORACLES |= {
+    "report_timing_stats": sql([], f"SELECT method, {r('min(total)', 4)} AS min, {r('max(total)', 4)} AS max, {r('avg(total)', 4)} AS mean, {r('median(total)', 4)} AS median, {r('stddev_pop(total)', 4)} AS std FROM h GROUP BY method", [HIST]),
+    "report_unpivot": sql([], f"SELECT method, 'r' || iter AS measure, {r('total', 2)} AS value FROM h WHERE iter <= 3 UNION ALL SELECT method, 'total', {r('sum(total)', 2)} FROM h WHERE iter <= 3 GROUP BY method", [HIST]),
+    "report_efficiency": f"WITH b AS (SELECT range % 3 AS mode, range // 3 % 3 AS method, range // 9 + 1 AS rank FROM range(45)), t AS (SELECT mode, rank, rank * 1000.0 AS flops, min(1.0 + (method * 7 + rank * 5 + mode * 3) % 11) AS time FROM b GROUP BY mode, rank) SELECT CAST(rank AS INT) AS rank, {r('CAST(sum(flops) / sum(time) / 1e4 AS DOUBLE)', 8)} AS efficiency FROM t GROUP BY rank",
+    "buffer_leftmost": sql([], "SELECT arg_min(owner, cell) AS owner FROM cells WHERE owner IS NOT NULL", [_cells()]),
+    "report_models": f"SELECT model_id AS \"KTENSOR_ID\", components AS \"KTENSOR_RANK\", error AS \"ERROR\", iters AS \"ITERS\" FROM ({_several()})",
+}
 del ORACLES["jk_als_rank1"]  # its start are fitted factors; see the tests

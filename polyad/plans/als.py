@@ -227,7 +227,7 @@ def fit_array(x: np.ndarray, models: Iterable[Model], params: Params) -> tuple[l
 # --- Spark -----------------------------------------------------------------------------------------------------
 
 
-RESULT = "model_id int, components int, jk_mode int, jk_fiber int, iters int, fit double, old_fit double, error double, status string, weights array<double>, factors array<array<array<double>>>, history array<struct<iter: int, error: double, fit: double, fit_diff: double>>"
+RESULT = "model_id int, components int, jk_mode int, jk_fiber int, iters int, fit double, old_fit double, error double, status string, extrapolated int, reverted int, rises int, weights array<double>, factors array<array<array<double>>>, history array<struct<iter: int, error: double, fit: double, fit_diff: double>>"
 
 
 def result_rows(models: list[Model]):
@@ -244,6 +244,9 @@ def result_rows(models: list[Model]):
             "old_fit": [m.old_fit for m in models],
             "error": [m.error for m in models],
             "status": [m.status for m in models],
+            "extrapolated": [m.extrapolated for m in models],
+            "reverted": [m.reverted for m in models],
+            "rises": [m.rises for m in models],
             "weights": [m.lam.tolist() for m in models],
             "factors": [[f.tolist() for f in m.factors] for m in models],
             "history": [[{"iter": i, "error": e, "fit": f, "fit_diff": d} for i, e, f, d in m.history] for m in models],
@@ -393,6 +396,11 @@ def ranks_and_copies(low: int, high: int, copies: int) -> list[int]:
     return [r for r in range(low, high + 1) for _ in range(copies)]
 
 
+def shuffled(models: DataFrame, seed: int) -> DataFrame:
+    """Models in an order that depends on the seed alone."""
+    return models.orderBy(F.xxhash64(F.lit(seed), "model_id"), "model_id")
+
+
 def models_of(results: DataFrame) -> DataFrame:
     return results.select("model_id", "components", "jk_mode", "jk_fiber", "iters", "fit", "old_fit", "error", "status")
 

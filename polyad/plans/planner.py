@@ -91,3 +91,8 @@ def compress(cells: DataFrame) -> DataFrame:
     w = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     moved = cells.withColumn("gaps", F.sum(F.col("owner").isNull().cast("int")).over(w))
     return moved.where("owner is not null").select("owner", "cell", (F.col("cell") - F.col("gaps")).cast("int").alias("new_cell"))
+
+
+def leftmost(cells: DataFrame) -> DataFrame:
+    """The owner of the first column in use."""
+    return cells.where("owner is not null").agg(F.min_by("owner", "cell").alias("owner"))

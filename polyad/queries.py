@@ -517,3 +517,31 @@ def report_pivot(s, d):
 def report_fit_difference(s, d):
     h = _history(s, d).select(F.substring("method", 1, 1).cast("int").alias("model_id"), "iter", (F.col("total") / 1e6).alias("fit"))
     return out(A.fit_difference(h), 6)
+
+
+@query
+def report_timing_stats(s, d):
+    return out(reports.timing_stats(_history(s, d), ["method"], "total"), 4)
+
+
+@query
+def report_unpivot(s, d):
+    h = _history(s, d).where("iter <= 3").select("method", F.col("iter").alias("components"), F.col("total").alias("seconds"))
+    return out(reports.unpivot(reports.pivot(h, [1, 2, 3]), ["method"]), 2)
+
+
+@query
+def report_efficiency(s, d):
+    return out(reports.efficiency(_bench(s), 1e4), 8)
+
+
+@query
+def buffer_leftmost(s, d):
+    return out(planner.leftmost(_cells(s)))
+
+
+@query
+def report_models(s, d):
+    x, m = sales(s, d)
+    r = als.cp_concurrent(x, m, als.model_list(s, [(0, 1, None), (1, 2, None), (2, 2, None)]), als.Params(max_iterations=2, force_max_iter=True))
+    return out(reports.model_summary(r), 4)

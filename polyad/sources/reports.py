@@ -76,3 +76,42 @@ def pivot(timings: DataFrame, components: list[int]) -> DataFrame:
     """A row for each method, a column for each number of components, and their sum."""
     wide = timings.groupBy("method").pivot("components", components).agg(F.first("seconds"))
     return wide.select("method", *[F.col(f"`{c}`").alias(f"r{c}") for c in components], sum((F.coalesce(f"`{c}`", F.lit(0.0)) for c in components), F.lit(0.0)).alias("total"))
+
+
+ALS_COLUMNS = ["TENSOR_RANK", "TENSOR_MODES", "KTENSOR_ID", "KTENSOR_COMP", "UPDATE_METHOD", "LINE_SEARCH", "MAX_ITERS", "ITER", "NUM_THREADS", "FLOPS", "ERROR", "FIT", "STATUS"]
+
+
+def als_report(results: DataFrame, meta, params, threads: int) -> DataFrame:
+    """One row for each model; FLOPs are those of its products in one sweep, as the planner chooses them."""
+    from polyad.plans.planner import choose, mttkrp_flops
+
+    per = sum(mttkrp_flops(meta.modes, n, 1, choose(meta.modes, n, params.mttkrp_method)) for n in range(len(meta.modes)))
+    values = [F.lit(meta.rank), F.lit(meta.label()), F.col("model_id"), F.col("components"), F.lit(params.update_method), F.lit(params.line_search), F.lit(params.max_iterations), F.col("iters"), F.lit(threads), F.col("components") * F.lit(per).cast("bigint"), F.col("error"), F.col("fit"), F.col("status")]
+    return results.select(*[v.alias(c) for v, c in zip(values, ALS_COLUMNS, strict=True)])
+
+
+def concurrent_report(results: DataFrame) -> DataFrame:
+    """One row for each iteration: models and columns still in it, and the line search's counts so far."""
+    steps = results.select("model_id", "components", F.explode("history").alias("h"))
+    return steps.groupBy(F.col("h.iter").alias("ITER")).agg(F.count("*").alias("N_KTENSORS"), F.sum("components").alias("COLS"), F.min("h.error").alias("LEAST_ERROR"))
+
+
+def model_summary(results: DataFrame) -> DataFrame:
+    return results.select(F.col("model_id").alias("KTENSOR_ID"), F.col("components").alias("KTENSOR_RANK"), F.col("error").alias("ERROR"), F.col("iters").alias("ITERS"))
+
+
+def timing_stats(timings: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Least, largest, mean, median and population deviation."""
+    v = F.col(value)
+    return timings.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"))
+
+
+def unpivot(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """Back to a row for each key and measured column."""
+    return wide.unpivot(keys, [c for c in wide.columns if c not in keys], "measure", "value")
+
+
+def efficiency(bench: DataFrame, peak: float) -> DataFrame:
+    """`bench(mode, rank, method, flops, time)`: share of the peak reached by the best method, summed over modes."""
+    best = bench.groupBy("mode", "rank").agg(F.max_by(F.struct("flops", "time"), F.col("flops") / F.col("time")).alias("b"))
+    return best.groupBy("rank").agg((F.sum("b.flops") / F.sum("b.time") / F.lit(peak)).alias("efficiency"))

@@ -91,6 +91,17 @@ def test_reports_and_tables(spark, tmp_path):
         assert reports.read_csv(spark, str(tmp_path / "missing")) is None
 
 
+def test_run_reports(spark, x):
+    df, meta = x
+    params = als.Params(max_iterations=12, force_max_iter=True, line_search=True, ls_interval=3)
+    r = als.cp_concurrent(df, meta, als.shuffled(als.model_list(spark, [(i, 2, i) for i in range(3)]), 4), params).persist()
+    rows = reports.als_report(r, meta, params, 4).orderBy("KTENSOR_ID").collect()
+    assert [x.KTENSOR_ID for x in rows] == [0, 1, 2] and rows[0].TENSOR_MODES == "7-5-6" and rows[0].FLOPS > 0
+    steps = {x.ITER: x for x in reports.concurrent_report(r).collect()}
+    assert steps[1].COLS == 6 and steps[1].N_KTENSORS == 3
+    assert all(x.extrapolated > 0 and x.reverted <= x.extrapolated for x in r.collect())
+
+
 def test_stream_of_models(spark, x, tmp_path):
     df, meta = x
     (tmp_path / "in").mkdir()
