@@ -16,6 +16,10 @@ Search among distinct fingerprints:
    those under one entry that verify link to it. For max_bits up to 2 an entry has at most 65 members, all
    within 2 bits of each other, so this needs no pairs and stays linear for any number of near copies.
 
+`keep_one`, the pipeline's stage, takes shingles of five words and also links texts whose shingle sets have a
+Jaccard similarity of 0.8 or more. Such texts differ in 4 to 15 of 64 bits, which no search by pigeonholes
+covers in linear work, so their candidates come from bands of least shingle hashes and are verified exactly.
+
 Defined results: null and wordless texts have fingerprint zero; fewer words than a shingle count as one
 shingle; repeated rows share a fingerprint and so a component; a null id sorts after all others.
 """
@@ -34,6 +38,8 @@ from polyad.llm.common import materialize, table
 from polyad.llm.components import components
 
 BITS = 64
+#: Bands of least values for the search by similarity: at 0.8 a pair shares none with probability 0.0004.
+BANDS, ROWS = 20, 5
 _LAST = 2**63 - 1
 
 
@@ -41,24 +47,31 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """As an unsigned integer."""
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """Of every shingle, repeats included; one of the whole sequence if it is shorter; none without words."""
     from xxhash import xxh64_intdigest
 
     found = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
-    if not found:
-        return 0
     if len(found) < words:
-        shingles = [b" ".join(found)]
+        shingles = [b" ".join(found)] if found else []
     else:
         shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-    hashes = np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8")
+    return np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes, as an unsigned integer."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """As an unsigned integer."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -190,29 +203,95 @@ def links(nodes: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
     return found.unionAll(star.where("a != b"))
 
 
-def _named(marked: DataFrame, max_bits: int) -> DataFrame:
-    """`(fp, one)` for each distinct fingerprint: the least (doc_id, h) of its component."""
-    nodes = materialize(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`(fp, one)` for each of the distinct fingerprints `nodes(fp, least)`: the least (doc_id, h) of its component."""
+    found = components(edges)
+    named = nodes.select("fp", "least").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "named")
     return named.join(named.groupBy("component").agg(F.min("least").alias("one")), "component").select("fp", "one")
 
 
+# --- links by the similarity of shingle sets ------------------------------------------------------------------
+
+_SALTS = np.random.default_rng(20).integers(0, 2**63, (2, BANDS * ROWS), "<u8") * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band: a hash of the least values of the shingles under the band's permutations."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, 2**64 - 1, "<u8")
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, ((hashes[at : at + 2048, None] ^ _SALTS[0]) * _SALTS[1]).min(axis=0), out=least)
+    return [_signed(xxh64_intdigest(row.tobytes())) for row in least.reshape(BANDS, ROWS)]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int = 42) -> DataFrame:
+    """`fingerprints` with the bands' keys and the distinct shingles, each as 32 bits of its hash."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                fps, keys, grams = [], [], []
+                for text in part.column(2):
+                    hashes = shingle_hashes(text.as_py(), words, seed)
+                    fps.append(_signed(majority(hashes)))
+                    hashes = np.unique(hashes)
+                    keys.append(bands(hashes))
+                    grams.append(np.unique(hashes.astype("<u4")).view("<i4"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int32()))], ["doc_id", "h", "fp", "bands", "grams"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, h bigint, fp bigint, bands array<bigint>, grams array<int>")
+
+
+def similar(nodes: DataFrame, similarity: float = 0.8, bucket: int = 64) -> DataFrame:
+    """Edges `(a, b)` among `nodes(fp, bands, grams)` whose shingle sets have at least this Jaccard similarity.
+
+    Candidates share a band. All pairs of a band's key with up to `bucket` members are candidates; in a larger one
+    each member is tried against one other, which differs from band to band. Candidates are verified exactly.
+    """
+    keys = nodes.select("fp", F.size("grams").alias("m"), F.posexplode("bands").alias("band", "key"))
+    # the least under an order of the band's own: (order, fp, m)
+    full = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", "band").alias("o"), "fp", "m")).alias("one")).where("n > 1")
+    full = materialize(full.select("band", "key", "n", F.col("one.fp").alias("one"), F.col("one.m").alias("one_m")), "buckets")
+    placed = materialize(keys.join(full, ["band", "key"]), "placed")
+    few = placed.where(F.col("n") <= bucket).select("band", "key", "fp", "m")
+    sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    pairs = few.alias("x").join(few.alias("y"), ["band", "key"]).where("x.fp < y.fp").where(sized(F.col("x.m"), F.col("y.m"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    crowded = placed.where((F.col("n") > bucket) & (F.col("fp") != F.col("one")) & sized(F.col("m"), F.col("one_m"))).select(F.least("fp", "one").alias("a"), F.greatest("fp", "one").alias("b"))
+    tried = materialize(pairs.unionAll(crowded).distinct(), "tried")
+    grams = nodes.select("fp", "grams")
+    both = tried.join(grams.withColumnsRenamed({"fp": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"fp": "b", "grams": "y"}), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
+    return shared.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("a", "b")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """`(doc_id, fingerprint, component_id)` for every row."""
     marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    return marked.join(materialize(_named(marked, max_bits), "components"), "fp").select(
+    nodes = materialize(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least")), "nodes")
+    named = materialize(_named(nodes, links(nodes.select("fp"), max_bits)), "components")
+    return marked.join(named, "fp").select(
         F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.nullif("one.doc_id", F.lit(_LAST)).alias("component_id"),
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are the first of their group by id and then text hash; of repeated rows one."""
-    marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    first = materialize(_named(marked, max_bits).select("one").distinct(), "first").select(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 2, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are the first of their group by id and then text hash; of repeated rows one.
+
+    Groups are made by links between fingerprints within `max_bits` bits and by links between shingle sets of
+    at least `similarity`. Of texts with one fingerprint, the first stands for all in the second search.
+    """
+    marked = sketches(docs, id_col, text_col, words)
+    nodes = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "bands", "grams")).alias("s"))
+    nodes = materialize(nodes.select("fp", F.struct("s.doc_id", "s.h").alias("least"), "s.bands", "s.grams"), "nodes")
+    edges = links(nodes.select("fp"), max_bits).unionAll(similar(nodes, similarity))
+    first = materialize(_named(nodes, edges).select("one").distinct(), "first").select(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
     keyed = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
     return keyed.join(first.hint("shuffle_merge"), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
 

@@ -75,6 +75,30 @@ def test_simhash_groups(spark):
     assert simhash.group(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_similar_texts(spark, bucket, monkeypatch):
+    monkeypatch.setattr(simhash.similar, "__defaults__", (0.8, bucket))
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [text(300) for _ in range(30)]
+    for base in texts[:10]:
+        for edits in (1, 3, 5, 12):
+            copy = list(base)
+            for i in rng.sample(range(len(copy)), edits):
+                copy[i] = "changed"
+            texts.append(copy)
+    sets = [set(zip(*(t[i:] for i in range(5)))) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = _groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)])
+    docs = spark.createDataFrame([(i, " ".join(t), i, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, fp int, n int")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    if bucket == 64:
+        assert kept == set(want.values())
+    else:
+        assert set(want.values()) <= kept <= set(want)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_fingerprint_bits():
     from xxhash import xxh64_intdigest
 

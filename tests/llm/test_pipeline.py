@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
     assert set(rows["quality_rules"]) == set(range(41))
     fps = {}
     for i in range(41):
-        fps.setdefault(simhash.fingerprint(texts[i]), i)
+        fps.setdefault(simhash.fingerprint(texts[i], 5), i)
     assert set(rows["near_duplicates"]) <= set(fps.values()) and 40 not in rows["near_duplicates"]
     assert set(rows["repeats"]) == set(rows["near_duplicates"])
     for i in (5, 6):
