@@ -96,8 +96,28 @@ class Lattice:
         return alpha, into
 
     def word(self, word: str) -> float:
-        """Natural logarithm of a word's marginal probability."""
-        return self.forward(_MARK + word)[0][-1]
+        """Natural logarithm of a word's marginal probability: `forward` without its edges."""
+        text, edges, log, exp = _MARK + word, self.edges.get, math.log, math.exp
+        n = len(text)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        for i in range(n + 1):
+            terms = into[i]
+            if len(terms) == 1:
+                alpha = terms[0]
+            else:
+                top = max(terms)
+                alpha = top + log(sum([exp(t - top) for t in terms]))
+            if i == n:
+                return alpha
+            if edges(text[i]) is None:
+                into[i + 1].append(alpha + sum([self.bytes[b][1] for b in text[i].encode()]))
+            for j in range(i + 1, n + 1):
+                found = edges(text[i:j], 0)
+                if found == 0:
+                    break
+                if found:
+                    into[j].append(alpha + found[1])
 
     def expect(self, word: str, count: float, into_counts: list[float]) -> None:
         """Add the expected piece counts of a word that occurs `count` times."""
@@ -207,38 +227,36 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     sent = session.broadcast(frequent)
 
     def run(batches):
-        known_of = {w: (math.log10(c + 1) - share, p) for w, (c, p) in sent.value.items()}
+        known_of = {w.encode(): (math.log10(c + 1) - share, p) for w, (c, p) in sent.value.items()}
         row_id = TaskContext.get().partitionId() << 33
         columns: list[list] = [[] for _ in range(4)]
 
         def taken():
             kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-            types = [pa.string(), pa.int64(), pa.int64(), kind]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "row", "n", "doc"])
+            types = [pa.binary(), pa.int64(), pa.int64(), kind]
+            words, *rest = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            out = pa.RecordBatch.from_arrays([words.cast(pa.string()), *rest], ["word", "row", "n", "doc"])
             for c in columns:
                 c.clear()
             return out
 
         for batch in batches:
             for doc, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = Counter((text.as_py() or "").encode().lower().decode().translate(_SPACES).split(" "))
-                words.pop("", None)
-                tokens = known = 0
+                words = (text.as_py() or "").encode().lower().split()
+                tokens, counts = len(words), Counter(words)
+                rare = [w for w in counts if w not in known_of]
+                columns[0] += rare
+                columns[1] += [row_id] * len(rare)
+                columns[2] += [counts.pop(w) for w in rare]
+                columns[3] += [None] * len(rare)
+                known = sum(counts.values())
                 base, total = math.log10(documents + 1) - share, end
-                for word, times in words.items():
-                    tokens += times
-                    found = known_of.get(word)
-                    if found is None:
-                        columns[0].append(word)
-                        columns[1].append(row_id)
-                        columns[2].append(times)
-                        columns[3].append(None)
-                    else:
-                        base += times * found[0]
-                        total += times * found[1]
-                        known += times
+                for word, times in counts.items():
+                    per_base, per_word = known_of[word]
+                    base += times * per_base
+                    total += times * per_word
                 # a key of its own that no word can have: the document's sums travel with its rare words
-                columns[0].append(f"\n{row_id}")
+                columns[0].append(b"\n%d" % row_id)
                 columns[1].append(row_id)
                 columns[2].append(0)
                 columns[3].append({"doc_id": doc, "held_out": held, "tokens": tokens + 1, "known": known + (documents > 0), "base": base, "score": total / math.log(10)})
@@ -260,10 +278,6 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     return per_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-#: ASCII white space as a space, so that split(" ") cuts there and nowhere else.
-_SPACES = {c: " " for c in range(0x09, 0x0E)}
-
-
 def crc_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
