@@ -247,26 +247,111 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, h bigint, fp bigint, bands array<bigint>, grams array<int>")
 
 
-def similar(nodes: DataFrame, similarity: float = 0.8, bucket: int = 64) -> DataFrame:
-    """Edges `(a, b)` among `nodes(fp, bands, grams)` whose shingle sets have at least this Jaccard similarity.
+def _verified(tried: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs `(a, b)` whose shingle sets have at least this similarity."""
+    grams = nodes.select("fp", "grams")
+    both = tried.join(grams.withColumnsRenamed({"fp": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"fp": "b", "grams": "y"}), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
+    return shared.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("a", "b")
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many elements each of the sets `xs` shares with each of `ys`: a product of 0-1 matrices, `width` elements at a time."""
+    flat = [np.concatenate(sets) for sets in (xs, ys)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(xs), len(ys)))
+    places = []
+    for sets, all_of in zip((xs, ys), flat, strict=True):
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(shared, all_of)
+        at[at == len(shared)] = 0
+        known = shared[at] == all_of if len(shared) else np.zeros(len(at), bool)
+        places.append((row[known], at[known]))
+    for lo in range(0, len(shared), width):
+        n = min(width, len(shared) - lo)
+        dense = []
+        for sets, (row, at) in zip((xs, ys), places, strict=True):
+            matrix = np.zeros((len(sets), n), np.float32)  # sums stay below 2**24, so they are exact
+            here = (at >= lo) & (at < lo + n)
+            matrix[row[here], at[here] - lo] = 1
+            dense.append(matrix)
+        out += dense[0] @ dense[1].T
+    return out
+
 
-    Candidates share a band. All pairs of a band's key with up to `bucket` members are candidates; in a larger one
-    each member is tried against one other, which differs from band to band. Candidates are verified exactly.
+def joined(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least row reachable from each row and column of a bipartite graph; the number of rows if there is none."""
+    none = len(hit)
+    rows = np.arange(none)
+    while True:
+        columns = np.where(hit, rows[:, None], none).min(axis=0)
+        least = np.minimum(rows, np.where(hit, columns[None, :], none).min(axis=1))
+        if (least == rows).all():
+            return rows, columns
+        rows = least
+
+
+def _rest(crowded: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Edges that join what `edges` leave apart among the members `(band, key, fp)` of crowded keys.
+
+    In each key, members outside the component with the most members are compared with all members, in pairs of
+    blocks of about `block` members each; a pair of blocks is one product of matrices and gives a spanning forest.
+    """
+    named = crowded.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("band", "key", "fp", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named, "members")
+    parts = named.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("most.n < n")
+    sizes = sizes.select("band", "key", F.col("most.component").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("nr"), F.ceil(F.col("most.n") / block).cast("int").alias("ng"))
+    members = named.join(materialize(sizes, "open"), ["band", "key"]).withColumn("rest", F.col("component") != F.col("most"))
+    own = F.when(F.col("rest"), F.expr("pmod(xxhash64(fp), nr)")).otherwise(F.expr("nr + pmod(xxhash64(fp), ng)")).cast("int")
+    meets = F.when(F.col("rest"), F.expr("sequence(0, nr + ng - 1)")).otherwise(F.expr("sequence(0, nr - 1)"))
+    tasks = members.withColumn("own", own).select("band", "key", "fp", "own", F.explode(meets).alias("other"))
+    tasks = tasks.select("band", "key", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(nodes.select("fp", "grams"), "fp")
+
+    def run(found: pa.Table) -> pa.Table:
+        found = found.combine_chunks()
+        fps, at = found["fp"].to_numpy(), found["own"].to_numpy()
+        sets = [np.asarray(g.values) for g in found["grams"]]
+        left = np.flatnonzero(at == found["i"][0].as_py())
+        right = np.flatnonzero(at == found["j"][0].as_py())
+        a, b = [], []
+        if len(left) and len(right):
+            n = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            m = np.array([len(s) for s in sets], float)
+            rows, columns = joined(n >= similarity * (m[left][:, None] + m[right] - n))
+            for side, names in ((left, rows), (right, columns)):
+                linked = names < len(left)
+                a.append(fps[side[linked]])
+                b.append(fps[left[names[linked]]])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
+
+    return materialize(tasks.groupBy("band", "key", "i", "j").applyInArrow(run, "a bigint, b bigint"), "rest")
+
+
+def similar(nodes: DataFrame, similarity: float = 0.8, bucket: int = 64, *, known: DataFrame | None = None, block: int = 512) -> DataFrame:
+    """Edges `(a, b)` that, beside those of `known`, join all of `nodes(fp, bands, grams)` that share a band and whose
+    shingle sets have at least this Jaccard similarity.
+
+    All pairs of a band's key with up to `bucket` members are verified. In a larger one each member is first tried
+    against the one whose bands' keys have the most members in all, which in a group of near copies is nearest to
+    what they are copies of. All pairs that the links do not join by then are verified in blocks.
     """
     keys = nodes.select("fp", F.size("grams").alias("m"), F.posexplode("bands").alias("band", "key"))
-    # the least under an order of the band's own: (order, fp, m)
-    full = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", "band").alias("o"), "fp", "m")).alias("one")).where("n > 1")
-    full = materialize(full.select("band", "key", "n", F.col("one.fp").alias("one"), F.col("one.m").alias("one_m")), "buckets")
+    full = materialize(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     placed = materialize(keys.join(full, ["band", "key"]), "placed")
     few = placed.where(F.col("n") <= bucket).select("band", "key", "fp", "m")
     sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    pairs = few.alias("x").join(few.alias("y"), ["band", "key"]).where("x.fp < y.fp").where(sized(F.col("x.m"), F.col("y.m"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    crowded = placed.where((F.col("n") > bucket) & (F.col("fp") != F.col("one")) & sized(F.col("m"), F.col("one_m"))).select(F.least("fp", "one").alias("a"), F.greatest("fp", "one").alias("b"))
-    tried = materialize(pairs.unionAll(crowded).distinct(), "tried")
-    grams = nodes.select("fp", "grams")
-    both = tried.join(grams.withColumnsRenamed({"fp": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"fp": "b", "grams": "y"}), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
-    return shared.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("a", "b")
+    tried = few.alias("x").join(few.alias("y"), ["band", "key"]).where("x.fp < y.fp").where(sized(F.col("x.m"), F.col("y.m"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    crowded = placed.where(F.col("n") > bucket)
+    if crowded.isEmpty():
+        return _verified(materialize(tried.distinct(), "tried"), nodes, similarity)
+    scores = crowded.groupBy("fp").agg(F.sum("n").alias("score"))
+    crowded = materialize(crowded.join(scores, "fp"), "crowded")
+    ones = crowded.groupBy("band", "key").agg(F.max(F.struct("score", "fp", "m")).alias("one"))
+    stars = crowded.join(ones, ["band", "key"]).where((F.col("fp") != F.col("one.fp")) & sized(F.col("m"), F.col("one.m"))).select(F.least("fp", "one.fp").alias("a"), F.greatest("fp", "one.fp").alias("b"))
+    tried = materialize(tried.unionAll(stars).distinct(), "tried")
+    found = materialize(_verified(tried, nodes, similarity), "similar")
+    return found.unionAll(_rest(crowded.select("band", "key", "fp"), nodes, found if known is None else found.unionAll(known), similarity, block))
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -290,7 +375,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     marked = sketches(docs, id_col, text_col, words)
     nodes = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "bands", "grams")).alias("s"))
     nodes = materialize(nodes.select("fp", F.struct("s.doc_id", "s.h").alias("least"), "s.bands", "s.grams"), "nodes")
-    edges = links(nodes.select("fp"), max_bits).unionAll(similar(nodes, similarity))
+    near = materialize(links(nodes.select("fp"), max_bits), "near")
+    edges = near.unionAll(similar(nodes, similarity, known=near))
     first = materialize(_named(nodes, edges).select("one").distinct(), "first").select(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
     keyed = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
     return keyed.join(first.hint("shuffle_merge"), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)

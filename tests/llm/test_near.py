@@ -99,6 +99,31 @@ def test_similar_texts(spark, bucket, monkeypatch):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket, block", [(64, 512), (64, 50), (1, 7)])
+def test_crowded_keys_lose_nothing(spark, bucket, block, monkeypatch):
+    monkeypatch.setattr(simhash.similar, "__defaults__", (0.8, bucket))
+    monkeypatch.setitem(simhash.similar.__kwdefaults__, "block", block)
+    rng = random.Random(11)
+    texts = []
+    for n, edits, original in ((300, 6, True), (120, 4, False)):  # without the original, links run along chains
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [base] if original else []
+        for _ in range(150):
+            copy = list(base)
+            for i in rng.sample(range(n), rng.randint(1, edits)):
+                copy[i] = f"x{rng.randrange(10**6)}"
+            texts.append(copy)
+    rng.shuffle(texts)
+    sets = [set(zip(*(t[i:] for i in range(5)))) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)]
+    keys = [set(enumerate(simhash.bands(np.unique(simhash.shingle_hashes(" ".join(t), 5))))) for t in texts]
+    # a link at the edge of 0.8 may share no band; all that share one have to be found
+    want = _groups(range(len(texts)), [(i, j) for i, j in close if keys[i] & keys[j]])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values())
+
+
 def test_fingerprint_bits():
     from xxhash import xxh64_intdigest
 
