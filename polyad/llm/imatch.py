@@ -6,10 +6,12 @@ under several randomised lexicons. Each lexicon is nested: level j holds a rando
 document uses the sparsest level that holds any of its terms, so that few terms decide a hash whatever the
 text's length and a few edits leave most hashes alone. A hash is that of the sorted terms in the level.
 A fingerprint is the hashes of all lexicons side by side; the likeness of two is the share of equal hashes.
-A text without a term in the band has hashes of all its terms; one without words has the fingerprint zero.
+A text without a term in the band is hashed by the same scheme over all its terms; one without words has the
+fingerprint zero.
 
-The band's rare edge is a share of all documents, so the band holds at most (mean distinct terms) / share
-terms however large the corpus. Where its counted size is within `most_sent`, it is broadcast; beyond, terms
+Document frequencies and N count each distinct set of terms once, so that copies of a text don't push its
+terms out of the band. The band's rare edge is a share of N, so the band holds at most (mean distinct terms) /
+share terms however large the corpus. Where its counted size is within `most_sent`, it is broadcast; beyond, terms
 are joined with it by shuffle. The terms of a document are then gathered again; they have never left the
 partition of their text if the band was broadcast.
 
@@ -39,10 +41,12 @@ def terms(text: Column) -> Column:
 
 
 def band(texts: DataFrame, common: float = 0.01, rare: float = 0.0005) -> DataFrame:
-    """`(h)`: hashes of the terms of the column `text` whose document frequency lies in the band."""
-    n = texts.count()
+    """`(h)`: hashes of the terms of the column `text` whose frequency among the distinct sets of terms lies in the band."""
+    found = texts.select(terms(F.col("text")).alias("ts")).withColumn("key", F.xxhash64(F.array_sort("ts")))
+    sets = materialize(found.groupBy("key").agg(F.first("ts").alias("ts")), "term-sets")
+    n = sets.count()
     low, high = max(2.0, n * rare), max(10.0, n * common)
-    return texts.select(F.explode(terms(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(low, high)).select("h")
+    return sets.select(F.explode("ts").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(low, high)).select("h")
 
 
 def _hash(kept: Column, i: int) -> Column:
@@ -62,11 +66,10 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fingerprint(kept: Column, whole: Column, lexicons: int = LEXICONS) -> Column:
-    """`kept`: hashes of the terms in the band; `whole`: a hash of all terms, null without words."""
-    instead = [F.lpad(F.lower(F.hex(F.xxhash64(whole, F.lit(i)).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for i in range(lexicons)]
-    none = F.when(whole.isNull(), F.lit("0" * 8 * lexicons)).otherwise(F.concat(*instead))
-    return F.when(F.size(kept) == 0, none).otherwise(F.concat(*[_hash(kept, i) for i in range(lexicons)]))
+def fingerprint(kept: Column, every: Column, lexicons: int = LEXICONS) -> Column:
+    """`kept`: hashes of the terms in the band; `every`: of all terms, which count where none is in the band."""
+    used = F.when(F.size(kept) > 0, kept).otherwise(every)
+    return _let(used, lambda ts: F.when(F.size(ts) == 0, F.lit("0" * 8 * lexicons)).otherwise(F.concat(*[_hash(ts, i) for i in range(lexicons)])))
 
 
 def likeness(a: Column, b: Column, lexicons: int = LEXICONS) -> Column:
@@ -116,8 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     following = ordered.select("*", F.coalesce(F.lead("text").over(window), F.lit("")).alias("following"), F.row_number().over(window).alias("at"))
     edited = following.select("key", "bucket", "guest", "at", "text", n.cast("bigint").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("following"), F.lit(1), cut)).alias("edited"))
     termed = edited.select("key", "bucket", "guest", "at", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("new"))
-    whole = [F.when(F.size(x) > 0, F.xxhash64(F.array_sort(x))).alias(f"{x}_whole") for x in ("own", "new")]
-    document = F.struct("key", "guest", "n_chars", "edited_sha256", *whole)
+    document = F.struct("key", "guest", "n_chars", "edited_sha256", F.col("own").alias("own_terms"), F.col("new").alias("new_terms"))
     # each term once, with the texts it is in (1 own, 2 edited, 3 both); the document itself rides on a last element
     nothing = F.lit(None).cast(termed.select(document.alias("d")).schema["d"].dataType)
 
@@ -135,7 +137,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.collect_list(F.when(F.col("where").bitwiseAND(F.lit(1)) > 0, F.col("h"))).alias("own"),
         F.collect_list(F.when(F.col("where").bitwiseAND(F.lit(2)) > 0, F.col("h"))).alias("new"),
     )
-    marked = gathered.select("bucket", "at", "doc.*", fingerprint(F.col("own"), F.col("doc.own_whole"), lexicons).alias("fingerprint"), fingerprint(F.col("new"), F.col("doc.new_whole"), lexicons).alias("edited_fingerprint"))
+    marked = gathered.select("bucket", "at", "doc.*", fingerprint(F.col("own"), F.col("doc.own_terms"), lexicons).alias("fingerprint"), fingerprint(F.col("new"), F.col("doc.new_terms"), lexicons).alias("edited_fingerprint"))
     paired = marked.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("at"))).where("guest = 0")
     return paired.select(
         F.nullif("key", F.lit(_LEAST)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

@@ -219,3 +219,18 @@ def test_imatch(spark):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id bigint, text string")
     assert imatch.fingerprints(twice).count() == 3
     assert imatch.fingerprints(twice.limit(0)).count() == 0
+
+
+def test_imatch_of_many_copies(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.sample(words, 80)) for _ in range(100)]
+    copied = " ".join(rng.sample(words, 80))
+    lone = " ".join(f"only{i}" for i in range(80))  # no term in the band however it is counted
+    docs = spark.createDataFrame(list(enumerate([*texts, *[copied] * 60, *[lone] * 30])), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    for ids in (range(100, 160), range(160, 190)):
+        assert len({got[i].fingerprint for i in ids}) == 1
+        assert np.mean([got[i].near_edited for i in ids]) > 0.3
+    kept = {r.h for r in imatch.band(docs.select("text")).collect()}
+    assert kept == {r.h for r in imatch.band(docs.where("doc_id <= 100 or doc_id = 160").select("text")).collect()}
