@@ -220,22 +220,99 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labelled).count() == 0
 
 
+_CALL = '{"id":"%s","name":"%s","arguments":%s}'
+
+
 def test_tool_calls(spark):
-    call = '{"id":"%s","name":"%s","arguments":%s}'
+    call = _CALL
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "user", 'say "hi"\n'), (1, 2, "assistant", "hi"), (1, 4, "assistant", "?"), (1, 5, "user", None),
-        (2, 1, "tool", '{"tool_call_id":"c1","content":"early"}'), (2, 3, "assistant", call % ("c1", "ask", '{"text":"a","turn":1}')),
+        (2, 1, "tool", '{"tool_call_id":"c1","content":"early"}'), (2, 3, "assistant", call % ("c1", "ask", '{"turn":1,"text":"a"}')),
         (2, 4, "assistant", call % ("c2", "ask", '{"text":{"$result":"c1"},"turn":"x"}')), (2, 5, "assistant", call % ("c1", "none", "{}")), (2, 6, "tool", '{"tool_call_id":"zz","content":"lost"}'),
+        (3, 1, "assistant", call % ("s", "ask", '{"text":"v","turn":"5"}')), (3, 2, "assistant", call % ("n", "ask", '{"text":{"text":"deep"},"turn":5}')), (3, 3, "assistant", call % ("e", "ask", '{"text":"","turn":5}')),
+        (3, 4, "assistant", call % ("f", "ask", '{"text":"v","turn":1.5}')), (3, 5, "assistant", call % ("m", "ask", '{"text":"v","turn":5,"more":1}')), (3, 6, "assistant", call % ("q", "ask", '"{\\"text\\":\\"v\\",\\"turn\\":5}"')),
+        (3, 7, "assistant", call % ("d", "ask", '{"text":"a","text":"b","turn":1}')), (3, 8, "tool", '{"tool_call_id":"s","content":{"z":[{"b":1,"a":2.50}],"y":null}}'), (3, 9, "assistant", '{"id":7,"name":"ask"}'),
+        (None, 1, "user", "x"), (None, 2, "assistant", "y"), (4, None, "user", "x"), (4, None, None, None), (5, 1, "user", "long " * 300_000),
     ]
-    got = {(r.conv_id, r.turn): r for r in tool_calls.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("status", F.lit(0))).collect()}
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("status", F.lit(0)).withColumn("row", F.lit(0))
+    out = tool_calls.link(table).collect()
+    assert len(out) == len(rows)
+    got = {(r.conv_id, r.turn): r for r in out}
     want = {(1, 0): ("plain", None), (1, 1): ("linked", True), (1, 2): ("linked", None), (1, 4): ("orphan", None), (1, 5): ("open", False), (2, 1): ("linked", None), (2, 3): ("linked", True), (2, 4): ("open", False), (2, 5): ("repeated", False), (2, 6): ("orphan", None)}
-    assert {k: (r.status, r.valid) for k, r in got.items()} == want
-    assert got[2, 1].order_turn == 3 and got[2, 4].order_turn == 4  # the result moves behind its call
+    want |= {(3, 1): ("linked", False), (3, 2): ("open", False), (3, 3): ("open", False), (3, 4): ("open", False), (3, 5): ("open", False), (3, 6): ("open", True), (3, 7): ("orphan", None), (3, 8): ("linked", None), (3, 9): ("orphan", None)}
+    want |= {(None, 1): ("open", True), (None, 2): ("orphan", None), (5, 1): ("open", True)}
+    assert {k: (r.status, r.valid) for k, r in got.items() if k != (4, None)} == want
+    assert sorted((r.status, r.valid) for r in out if r.conv_id == 4) == [("open", False), ("plain", None)]
+    assert (got[2, 1].order_turn, got[2, 1].order_level) == (3, 1) and (got[2, 4].order_turn, got[2, 4].order_level) == (4, 2)  # the result moves behind its call
     assert got[1, 1].message == '{"arguments":{"text":"say \\"hi\\"\\n","turn":1},"id":"turn-1","name":"ask","role":"user"}'
     assert got[2, 1].message == '{"content":"early","role":"tool","tool_call_id":"c1"}'
+    assert got[2, 3].message == '{"arguments":{"text":"a","turn":1},"id":"c1","name":"ask","role":"assistant"}'
+    assert got[3, 8].message == '{"content":{"y":null,"z":[{"a":2.5,"b":1}]},"role":"tool","tool_call_id":"s"}'
+    assert got[3, 7].message.startswith('{"content":"{\\"id')
     assert tool_calls.link(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def _places(rows):
+    """By row: the sort key, or None for what depends on itself; `rows`: (turn, kind, id, refers)."""
+    first = {}
+    for i, (turn, kind, name, _) in enumerate(rows):
+        if kind == "call" and (name not in first or turn < rows[first[name]][0]):
+            first[name] = i
+    needs = {}
+    for i, (_, kind, name, refers) in enumerate(rows):
+        if kind == "call":
+            needs[i] = [j for j, r in enumerate(rows) if r[1] == "result" and r[2] in refers]
+        else:
+            needs[i] = [first[name]] if name in first else []
+    found = {}
+    for _ in rows:
+        for i in needs:
+            if i not in found and all(j in found for j in needs[i]):
+                found[i] = max([rows[i][0], *(found[j][0] for j in needs[i])]), 1 + max([-1, *(found[j][1] for j in needs[i])])
+    return first, needs, {i: found.get(i) for i in needs}
+
+
+@pytest.mark.parametrize("most_edges", [200_000, 0])
+def test_tool_call_order(spark, most_edges):
+    rng = random.Random(31)
+    conversations = {}
+    for conv in range(25):
+        n = rng.randint(1, 14)
+        rows = []
+        for turn in rng.sample(range(100), n + rng.randint(0, 12)):
+            name = f"c{rng.randrange(n)}"
+            if rng.random() < 0.55:
+                rows.append((turn, "call", name, {f"c{rng.randrange(n)}" for _ in range(rng.choice([0, 0, 1, 2]))}))
+            else:
+                rows.append((turn, "result", name, set()))
+        conversations[conv] = rows
+    # a chain of 60 calls behind one late result, told backwards; and two calls that wait for each other
+    conversations[100] = [x for k in range(60) for x in ((100 - k, "call", f"k{k}", {f"k{k - 1}"} if k else {"late"}), (200 - k, "result", f"k{k}", set()))] + [(999, "result", "late", set())]
+    conversations[101] = [(1, "call", "a", {"b"}), (2, "call", "b", {"a"}), (3, "result", "a", set()), (4, "result", "b", set()), (5, "call", "c", {"a"}), (6, "call", "a", {"q"})]
+    if most_edges == 0:
+        conversations[100] = conversations[100][:12] + conversations[100][-1:]
+    table = []
+    for conv, rows in conversations.items():
+        for turn, kind, name, refers in rows:
+            body = _CALL % (name, "t", '{ "x" : [%s] }' % ",".join('{ "$result" : "%s" }' % r for r in sorted(refers))) if kind == "call" else '{"tool_call_id":"%s","content":1}' % name
+            table.append((conv, turn, "x", body))
+    got = {(r.conv_id, r.turn): r for r in tool_calls.link(spark.createDataFrame(table, "conv_id bigint, turn bigint, role string, text string"), most_edges=most_edges).collect()}
+    assert len(got) == len(table)
+    cyclic = 0
+    for conv, rows in conversations.items():
+        first, needs, places = _places(rows)
+        key = lambda i: (got[conv, rows[i][0]].order_turn, got[conv, rows[i][0]].order_level)
+        for i, place in places.items():
+            r = got[conv, rows[i][0]]
+            assert (r.status == "cyclic") == (place is None)
+            cyclic += place is None
+            assert key(i) == ((rows[i][0], 0) if place is None else place)
+            assert place is None or all(key(j) < key(i) for j in needs[i])
+            if place is not None:
+                assert r.status == ("repeated" if rows[i][1] == "call" and first[rows[i][2]] != i else "linked" if any(x[2] == rows[i][2] and x[1] != rows[i][1] for x in rows) else "open" if rows[i][1] == "call" else "orphan")
+    assert cyclic > 4
+
+
 ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
