@@ -313,9 +313,35 @@ def test_tool_call_order(spark, most_edges):
     assert cyclic > 4
 
 
-ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+def _licence_text(name):
+    from polyad.llm.licence_texts import TEXTS
 
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    return next(t for n, _, t in TEXTS if n == name)
+
+
+@pytest.mark.parametrize("width", [40, 60, 72, 76, 79, 100])
+def test_licences_have_one_digest_however_wrapped(width):
+    import textwrap
+
+    from polyad.llm import licences
+    from polyad.llm.licence_texts import TEXTS
+
+    known = dict(licences.known_digests())
+    for name, titles, text in TEXTS:
+        wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+        assert known[licences.digest(wrapped)] == name
+        for title in titles:
+            assert known[licences.digest(f"{title}\n\nCopyright (c) 2008-2020 A. B and contributors.\nCopyright 2021 C\nAll rights reserved.\n© D\n\n{wrapped.upper()}")] == name
+        assert licences.digest(wrapped + " x") not in known
+
+
+def test_long_licences_are_rebuilt():
+    from polyad.llm import licences
+
+    found = licences.digests_of("/usr/share/common-licenses")
+    assert set(found) <= set(licences.LONG)
+    if found:
+        assert set(found) == set(licences.LONG)
 
 
 def test_licences(spark):
@@ -323,18 +349,29 @@ def test_licences(spark):
 
     from polyad.llm import licences
 
+    isc = _licence_text("ISC")
     texts = [
-        ISC, ISC.upper().replace(",", " ,\n"), "ISC Licence\n\nCopyright (c) 2020, A & B\n© 2021 C\n\n" + ISC, "x " + ISC, None, "", "!?\n", "© me",
+        isc, isc.upper().replace(",", " ,\n"), "ISC Licence\n\nCopyright (c) 2020, A & B\n© 2021 C\n\n" + isc, "x " + isc, None, "", "!?\n", "© me",
         "Released under the MIT Licence", "released — under “the” MIT license!", "Copyright lines\ncopyright 1\nÉté & naïve – tests\r\n(c) x", "a\nlabelled programme & https", "ſ İ K",
+        "Some prose.\n  Released under the MIT License.\nmore\n* licensed under CC BY-NC 4.0\nLicensed under cc by nc 4 0", "He released under the MIT License. So it goes.", "long words " * 200_000 + "\nLicensed under the Apache Licence, version 2.0",
     ]
-    docs = spark.createDataFrame([*enumerate(texts), (0, ISC)], "doc_id bigint, text string").withColumn("licence", F.lit("clash"))
+    docs = spark.createDataFrame([*enumerate(texts), (0, isc)], "doc_id bigint, text string").withColumn("licence", F.lit("clash")).withColumn("form", F.lit("clash"))
     got = sorted(map(tuple, licences.scan(docs).collect()), key=str)
-    want = sorted(((i, len(licences.canonical_text(t)), licences.digest(t), dict(licences.KNOWN).get(licences.digest(t))) for i, t in [*enumerate(texts), (0, ISC)]), key=str)
+    known = dict(licences.known_digests())
+    lines = {licences.digest(line): name for name, line in licences.NOTICES}
+
+    def noticed(text):
+        found = {lines.get(licences.digest(x)) for x in (text or "").split("\n")} - {None}
+        return ", ".join(sorted(found)) or None
+
+    want = sorted(((i, len(licences.canonical_text(t)), licences.digest(t), known.get(licences.digest(t)), noticed(t)) for i, t in [*enumerate(texts), (0, isc)]), key=str)
     assert got == want
-    assert [r[3] for r in sorted({(r[0], r[3]) and r for r in got}, key=lambda r: r[0])][:4] == ["ISC", "ISC", "ISC (titled)", None]
+    by = {r[0]: r[3:] for r in got}
+    assert [by[i][0] for i in range(4)] == ["ISC", "ISC", "ISC", None]
+    assert by[8] == by[9] == ("MIT", "MIT") and by[13] == (None, "CC-BY-NC-4.0, MIT") and by[14] == (None, None) and by[15] == (None, "Apache-2.0")
     documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
     assert sorted(duckdb.sql(licences.oracle()).fetchall(), key=str) == want
     listed = spark.createDataFrame([(licences.digest("a"), "z"), (licences.digest("a"), "b")], "digest string, licence string")
     one = spark.createDataFrame([(1, "A!")], "doc_id bigint, text string")
-    assert licences.scan(one, listed).first().licence == licences.scan(one, listed, most_sent=0).first().licence == "b"
+    assert licences.scan(one, listed).first().licence == licences.scan(one, listed, most_sent=0, notices=[]).first().licence == "b"
     assert licences.scan(docs.limit(0)).count() == 0
