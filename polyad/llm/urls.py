@@ -1,17 +1,20 @@
 """URL filters (operator 7), with DataFrame functions only.
 
 Rules name a host and a path. A rule fits its host and all subdomains of it if the url's path starts with the
-rule's path; of those that fit, the longest decides. Where none fits, gradient-boosted trees on lexical
-features decide: length, depth, share of digits, entropy of characters, parameters, hyphens and dots, and
-the share of bad labels among urls with the same host suffixes, smoothed towards the mean.
+rule's path; of those that fit, the longest decides, of equally long ones the least in order of text and action.
+Where none fits, gradient-boosted trees on lexical features decide: length, depth, share of digits, entropy of
+characters, parameters, hyphens and dots, and the share of bad labels among urls with the same host suffixes,
+smoothed towards the mean.
 
 The trees are fitted in the JVM on at most `most_labels` labelled urls (those with the least hashes, so the
-choice does not depend on the order of rows) and applied as one SQL expression. Rules are an expression while
-there are at most 100; more are hash-joined on host suffix and path prefix.
+choice does not depend on the order of rows) and applied as one SQL expression. Rates of suffixes are those of
+the same labels, so there are at most as many; the rows that train see rates without their own label. Rules are
+an expression while there are at most `most_inline`; more are hash-joined on host suffix and path prefix, with
+the same results.
 
 Defined results: a url that is null or has no `://` has an empty host and path, fits no rule and is judged by
-the trees as an empty string; without labelled urls of both kinds the verdict is that of the majority (allow
-if there are none); repeated rows get equal verdicts; other columns are ignored.
+the trees as an empty string; with labels of one kind only the verdict is that of this kind, without labels it
+is allow; repeated rows get equal verdicts; other columns are ignored; urls may be of any length.
 """
 
 from __future__ import annotations
@@ -77,8 +80,8 @@ def _tree_sql(node, names: list[str]) -> str:
 class Model:
     """What `fit` has learnt: rates of host suffixes and trees."""
 
-    def __init__(self, mean: float, short: DataFrame | None, long: DataFrame | None, margin: str):
-        self.mean, self.short, self.long, self.margin = mean, short, long, margin
+    def __init__(self, mean: float, short: DataFrame | None, long: DataFrame | None, margin: str, trees=None):
+        self.mean, self.short, self.long, self.margin, self.trees = mean, short, long, margin, trees
 
     def featured(self, urls: DataFrame) -> DataFrame:
         """`urls`, which are lexical(), with their suffixes' rates."""
@@ -93,8 +96,8 @@ class Model:
         return 1 / (1 + F.exp(-2 * F.expr(self.margin)))
 
 
-def fit(labelled: DataFrame, most_labels: int = 20_000, trees: int = 8, depth: int = 3, prior: float = 20.0, most_suffixes: int = 10_000) -> Model:
-    """From `labelled(url, bad)`; bad is 0 or 1. Rates are kept for the `most_suffixes` most frequent suffixes."""
+def fit(labelled: DataFrame, most_labels: int = 20_000, trees: int = 8, depth: int = 3, prior: float = 20.0) -> Model:
+    """From `labelled(url, bad)`; bad is 0 or 1."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -102,24 +105,25 @@ def fit(labelled: DataFrame, most_labels: int = 20_000, trees: int = 8, depth: i
     rows = materialize(lexical(chosen.select("url", F.col("bad").cast("double").alias("bad"))), "labelled")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("bad"), F.lit(0.0)).alias("mean")).first()
     mean = float(total["mean"])
-    if total["n"] < 100 or mean in (0.0, 1.0):
+    if mean in (0.0, 1.0):  # one kind of label, or none
         return Model(mean, None, None, "1.0D" if mean > 0.5 else "-1.0D")
-    rates = {}
+    rates, ready = {}, rows
     for name in ("short", "long"):
-        found = rows.groupBy(name).agg(F.count("*").alias("k"), ((F.sum("bad") + prior * mean) / (F.count("*") + prior)).alias(f"{name}_rate"))
-        rates[name] = materialize(found.orderBy(F.desc("k"), name).limit(most_suffixes).drop("k"), name)
+        sums = materialize(rows.groupBy(name).agg(F.count("*").alias("k"), F.sum("bad").alias("s")), name)
+        rates[name] = sums.select(name, ((F.col("s") + prior * mean) / (F.col("k") + prior)).alias(f"{name}_rate"))
+        own = (F.col("s") - F.col("bad") + prior * mean) / (F.col("k") - 1 + prior)
+        ready = ready.join(F.broadcast(sums), name).withColumn(f"{name}_rate", own).drop("k", "s")
     model = Model(mean, rates["short"], rates["long"], "0.0D")
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(model.featured(rows)).select("features", "bad").coalesce(4)
-    fitted = GBTClassifier(labelCol="bad", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(ready)
-    java = fitted._java_obj
-    parts = [f"{float(w)!r}D * {_tree_sql(t.rootNode(), FEATURES)}" for t, w in zip(java.trees(), fitted.treeWeights, strict=True)]
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "bad").coalesce(4)
+    model.trees = GBTClassifier(labelCol="bad", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(ready)
+    parts = [f"{float(w)!r}D * {_tree_sql(t.rootNode(), FEATURES)}" for t, w in zip(model.trees._java_obj.trees(), model.trees.treeWeights, strict=True)]
     model.margin = " + ".join(parts)
     return model
 
 
 def _by_expression(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     fits = None
-    for action, name, start in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
+    for action, name, start in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0])):
         test = ((F.col("host") == name) | F.col("host").endswith("." + name)) & F.col("path").startswith(start)
         value = F.struct(F.lit(name + start).alias("rule"), F.lit(action).alias("action"))
         fits = F.when(test, value) if fits is None else fits.when(test, value)
@@ -136,15 +140,15 @@ def _by_join(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     starts = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("path", 1, n).alias("p")) for n in sorted({len(r[2]) for r in rules})])
     numbered = urls.withColumn("_row", F.monotonically_increasing_id())
     keys = numbered.select("_row", F.explode(suffixes).alias("h"), starts.alias("s")).select("_row", "h", F.explode("s").alias("s")).where(F.length("s.p") == F.col("s.n"))
-    best = keys.select("_row", "h", "s.p").join(held, ["h", "p"]).groupBy("_row").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("fit"))
+    best = keys.select("_row", "h", "s.p").join(held, ["h", "p"]).groupBy("_row").agg(F.min_by(F.struct("rule", "action"), F.struct(-F.length("rule"), "rule", "action")).alias("fit"))
     return numbered.join(best, "_row", "left").drop("_row")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
-    """`(page_id, host, path, rule, verdict, bad)` for every row."""
-    model = fit(labelled)
+def judge(pages: DataFrame, labelled: DataFrame | Model, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, most_inline: int = 100) -> DataFrame:
+    """`(page_id, host, path, rule, verdict, bad)` for every row; `labelled`: urls with labels, or what `fit` made of them."""
+    model = labelled if isinstance(labelled, Model) else fit(labelled)
     urls = lexical(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")))
-    ruled = (_by_expression if len(rules) <= 100 else _by_join)(urls, rules)
+    ruled = (_by_expression if len(rules) <= most_inline else _by_join)(urls, rules)
     scored = model.featured(ruled).withColumn("bad", model.bad())
     own = F.when(F.col("bad") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", own).alias("verdict"), "bad")

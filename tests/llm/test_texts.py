@@ -189,37 +189,64 @@ def test_scores(spark):
     assert lattice.score(docs.limit(0)).count() == 0
 
 
-def _rule(url):
+def _rule(url, rules=urls.RULES):
     if url is None or "://" not in url:
         return "", "", None
     rest = url.split("://", 1)[1]
     host = re.split(r"[/?#]", rest)[0]
     path = re.split(r"[?#]", rest[len(host) :])[0]
     host = "".join(c.lower() if c.isascii() else c for c in host)
-    fits = [(h + p, a) for a, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return host, path, max(fits, key=lambda x: len(x[0]), default=None)
+    fits = sorted((-len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
+    return host, path, fits[0][1:] if fits else None
 
 
 def test_urls(spark):
     rng = random.Random(8)
-    hosts = ["example.com", "a.Example.com", "net", "b.net", "xexample.net", "example.net", "org", "é.org", "", "user@h.com:80"]
-    made = ["".join([rng.choice(["http", "https", "x"]), rng.choice(["://", "://", "://", ":/"]), rng.choice(hosts), rng.choice(["", "/", "/en/7", "/en/1", "/de/8", "/de/", "/es/a://b", "/EN/"]), rng.choice(["", "?q=1&r=2", "#/en/", "?/en/"])]) for _ in range(200)]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([None, "", *made])], "page_id bigint, url string, host string")
+    hosts = ["example.com", "a.Example.com", "net", "b.net", "xexample.net", "example.net", "org", "é.org", "", "user@h.com:80", "b.com"]
+    made = ["".join([rng.choice(["http", "https", "x"]), rng.choice(["://", "://", "://", ":/"]), rng.choice(hosts), rng.choice(["", "/", "/en/7", "/en/1", "/de/8", "/de/", "/es/a://b", "/EN/", "/en/abcd"]), rng.choice(["", "?q=1&r=2", "#/en/", "?/en/"])]) for _ in range(200)]
+    made += ["http://b.com/en/abcd", "http://b.net/" + "a/" * 50_000, made[0], made[0]]
+    table = [(i, u, "h", "x") for i, u in enumerate([None, "", *made])]
+    pages = spark.createDataFrame(table, "page_id bigint, url string, host string, rule string")
     labelled = spark.createDataFrame([(f"http://s{i % 7}.example.{'com' if i % 2 else 'bad'}/en/{i}{'-x' * (i % 3)}", i % 2) for i in range(400)], "url string, bad int")
-    one = {r.page_id: r for r in urls.judge(pages, labelled).collect()}
-    many = {r.page_id: r for r in urls.judge(pages, labelled, rules=urls.RULES + [("block", f"h{i}.invalid", "/") for i in range(120)]).collect()}
-    for i, u in enumerate([None, "", *made]):
-        host, path, fit = _rule(u)
-        for r in (one[i], many[i]):
-            assert (r.host, r.path, r.rule) == (host, path, fit and fit[0])
-            assert r.verdict == (fit[1] if fit else "block" if r.bad > 0.5 else "allow")
-    test = spark.createDataFrame([(i, f"http://t.example.{'com' if i % 2 else 'bad'}/fr/{i}", i % 2) for i in range(60)], "page_id bigint, url string, bad int")
-    judged = {r.page_id: r.bad > 0.5 for r in urls.judge(test.drop("bad"), labelled, rules=[]).collect()}
-    assert sum(judged[i] == (i % 2 == 1) for i in judged) >= 54
-    assert {r.verdict for r in urls.judge(test.drop("bad"), labelled.limit(0), rules=[]).collect()} == {"allow"}
+    model = urls.fit(labelled)
+    tied = [("block", "com", "/en/abc"), ("allow", "b.com", "/en/a"), ("block", "b.com", "/en/a")]  # of one length
+    for rules in (urls.RULES, urls.RULES + tied, urls.RULES + tied + [("block", f"h{i}.invalid", "/") for i in range(120)]):
+        for inline in (0, 10**6):
+            got = {r.page_id: r for r in urls.judge(pages, model, rules=rules, most_inline=inline).collect()}
+            assert len(got) == len(table)
+            for i, u in enumerate([None, "", *made]):
+                host, path, fit = _rule(u, rules)
+                assert (got[i].host, got[i].path, got[i].rule) == (host, path, fit and fit[0])
+                assert got[i].verdict == (fit[1] if fit else "block" if got[i].bad > 0.5 else "allow")
+    assert {r.verdict for r in urls.judge(pages, labelled.limit(0), rules=[]).collect()} == {"allow"}
+    assert {r.verdict for r in urls.judge(pages, labelled.where("bad = 1"), rules=[]).collect()} == {"block"}
     assert urls.judge(pages.limit(0), labelled).count() == 0
 
 
+@pytest.mark.parametrize("n", [12, 400])
+def test_url_trees(spark, n):
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(n)
+    labelled = [(f"http://s{i % 7}.example.{'com' if i % 2 else 'bad'}/en/{i}{'-x' * rng.randrange(4)}?a={i}", i % 2) for i in range(n)]
+    model = urls.fit(spark.createDataFrame(labelled, "url string, bad int"))
+    test = [(i, f"http://t.example.{'com' if i % 2 else 'bad'}/fr/{i}{'&b=1' * (i % 3)}", i % 2) for i in range(60)]
+    ready = model.featured(urls.lexical(spark.createDataFrame(test, "page_id bigint, url string, label int")))
+    scored = model.trees.transform(VectorAssembler(inputCols=urls.FEATURES, outputCol="features").transform(ready)).withColumn("own", model.bad())
+    for r in scored.collect():  # the SQL is the fitted model
+        assert r.own == pytest.approx(r.probability[1], abs=1e-12)
+    # what is learnt holds for urls that were not labelled
+    judged = {r.page_id: r.bad > 0.5 for r in urls.judge(spark.createDataFrame(test, "page_id bigint, url string, label int"), spark.createDataFrame(labelled, "url string, bad int"), rules=[]).collect()}
+    assert sum(judged[i] == bool(label) for i, _, label in test) >= (54 if n == 400 else 25)
+    # features against their definitions
+    for r in ready.collect():
+        u = r.url
+        counts = Counter(u)
+        assert r.n == len(u) and r.digits == pytest.approx(sum(c.isdigit() for c in u) / len(u)) and r.depth == r.path.count("/") and r.dots == r.host.count(".") and r.hyphens == u.count("-")
+        assert r.entropy == pytest.approx(-sum(c / len(u) * math.log2(c / len(u)) for c in counts.values()))
+        assert r.parameters == (u.split("?", 1)[1].count("&") + 1 if "?" in u else 0)
+
+
 _CALL = '{"id":"%s","name":"%s","arguments":%s}'
 
 
