@@ -8,7 +8,7 @@ smoothed towards the mean.
 
 The trees are fitted in the JVM on at most `most_labels` labelled urls (those with the least hashes, so the
 choice does not depend on the order of rows) and applied as one SQL expression. Rates of suffixes are those of
-the same labels, so there are at most as many; the rows that train see rates without their own label. Rules are
+the same labels, so there are at most as many; rows that train see the rates of the other folds of urls. Rules are
 an expression while there are at most `most_inline`; more are hash-joined on host suffix and path prefix, with
 the same results.
 
@@ -96,7 +96,7 @@ class Model:
         return 1 / (1 + F.exp(-2 * F.expr(self.margin)))
 
 
-def fit(labelled: DataFrame, most_labels: int = 20_000, trees: int = 8, depth: int = 3, prior: float = 20.0) -> Model:
+def fit(labelled: DataFrame, most_labels: int = 20_000, trees: int = 8, depth: int = 3, prior: float = 20.0, folds: int = 5) -> Model:
     """From `labelled(url, bad)`; bad is 0 or 1."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -107,12 +107,14 @@ def fit(labelled: DataFrame, most_labels: int = 20_000, trees: int = 8, depth: i
     mean = float(total["mean"])
     if mean in (0.0, 1.0):  # one kind of label, or none
         return Model(mean, None, None, "1.0D" if mean > 0.5 else "-1.0D")
-    rates, ready = {}, rows
+    fold = F.pmod(F.xxhash64("url"), F.lit(folds))
+    rates, ready = {}, rows.withColumn("fold", fold)
     for name in ("short", "long"):
         sums = materialize(rows.groupBy(name).agg(F.count("*").alias("k"), F.sum("bad").alias("s")), name)
         rates[name] = sums.select(name, ((F.col("s") + prior * mean) / (F.col("k") + prior)).alias(f"{name}_rate"))
-        own = (F.col("s") - F.col("bad") + prior * mean) / (F.col("k") - 1 + prior)
-        ready = ready.join(F.broadcast(sums), name).withColumn(f"{name}_rate", own).drop("k", "s")
+        folded = rows.groupBy(name, fold.alias("fold")).agg(F.count("*").alias("fk"), F.sum("bad").alias("fs"))
+        other = (F.col("s") - F.col("fs") + prior * mean) / (F.col("k") - F.col("fk") + prior)
+        ready = ready.join(F.broadcast(sums), name).join(F.broadcast(folded), [name, "fold"]).withColumn(f"{name}_rate", other).drop("k", "s", "fk", "fs")
     model = Model(mean, rates["short"], rates["long"], "0.0D")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "bad").coalesce(4)
     model.trees = GBTClassifier(labelCol="bad", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(ready)
