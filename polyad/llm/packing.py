@@ -2,16 +2,19 @@
 
 Examples are placed under limits on tokens, segments and loss-bearing tokens at once. An open sequence takes,
 of all pooled pieces that fit, the one whose demand has the largest dot product with the capacity that is
-left (both as shares of the limits). Documents may be cut: whole multiples of the token limit leave as full
-sequences at once, and the piece that closes a sequence is cut to fill it.
+left (both as shares of the limits). The first `context` tokens of a document are its context and bear no loss;
+all others do. Documents may be cut: whole sequences' worth leaves a long document at once, and the piece that
+closes a sequence is cut to fill it. With the limits of production (2048 tokens, 8 segments, 2032 loss-bearing
+tokens, 16 of context) each limit binds: a sequence of many short documents ends at its segments, one from within
+a long document at its loss-bearing tokens, which leaves room for the context of another.
 
 Map-only: each task packs its own rows from a pool of bounded size, so memory does not grow with the input
-and nothing is shuffled. What is left at the end of a task is split into sequences whose lengths are powers
-of two, which need no padding.
+and nothing is shuffled. What can't be closed within the limits, as at the end of a task, is split into sequences
+whose lengths are powers of two, which need no padding.
 
 Defined results: a null text counts as empty and still has its end token; repeated rows are packed each for
-itself; other columns of the input are ignored. Sequence ids are unique and depend on how the input is
-split into tasks.
+itself; other columns of the input are ignored; an empty table gives no rows; texts may be of any length.
+Sequence ids are unique and depend on how the input is split into tasks.
 """
 
 from __future__ import annotations
@@ -54,22 +57,31 @@ def _fast_encoder(path: str):
 class Packer:
     """Places pieces `(doc, start, ids, doc_tokens)`; `rows` holds what has been placed and not yet taken."""
 
-    def __init__(self, first_id: int, max_tokens: int, max_segments: int, max_loss: int, pool: int):
-        self.next_id, self.limits, self.pool_size = first_id, np.array([max_tokens, max_segments, max_loss], float), pool
-        self.max_tokens, self.max_segments, self.max_loss = max_tokens, max_segments, max_loss
+    def __init__(self, first_id: int, max_tokens: int, max_segments: int, max_loss: int, context: int, pool: int):
+        self.next_id, self.limits, self.pool_size = first_id, np.array([max_tokens, max_segments, max_loss], float)[:, None], pool
+        self.max_tokens, self.max_segments, self.max_loss, self.context = max_tokens, max_segments, max_loss, context
         self.items: list = []
         self.rows: list[tuple] = []
 
+    def loss(self, start: int, length: int) -> int:
+        """Loss-bearing tokens of a piece."""
+        return max(0, start + length - max(start, self.context))
+
+    def longest(self, start: int, tokens: int, loss: int) -> int:
+        """Tokens that a piece from `start` may have within this room."""
+        return min(tokens, loss + max(0, self.context - start))
+
     def add(self, doc: int, ids: np.ndarray) -> None:
-        total, step = len(ids), min(self.max_tokens, self.max_loss + 1)
-        at = 0
-        while total - at >= step:
-            self._emit([(doc, at, ids[at : at + step], total)])
-            at += step
-        if at < total:
-            self.items.append((doc, at, ids[at:].copy(), total))
-        if len(self.items) >= self.pool_size:
-            self._pack(self.pool_size // 2)
+        total, at = len(ids), 0
+        while total - at >= self.max_tokens <= self.longest(at, self.max_tokens, self.max_loss):
+            self._emit([(doc, at, ids[at : at + self.max_tokens], total)])
+            at += self.max_tokens
+        while at < total:  # what is left, in pieces that a sequence can hold
+            n = min(total - at, self.longest(at, self.max_tokens, self.max_loss))
+            self.items.append((doc, at, ids[at : at + n].copy(), total))
+            at += n
+            if len(self.items) >= self.pool_size:
+                self._pack(self.pool_size // 2)
 
     def finish(self) -> None:
         self._pack(0)
@@ -77,47 +89,51 @@ class Packer:
     def _emit(self, pieces: list) -> None:
         offset = 0
         for doc, start, ids, total in pieces:
-            self.rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), total, self.next_id, offset, len(ids) - 1))
+            self.rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), total, self.next_id, offset, self.loss(start, len(ids))))
             offset += len(ids)
         self.next_id += 1
 
     def _pack(self, leave: int) -> None:
-        """Fill sequences until at most `leave` pieces are pooled."""
+        """Fill sequences until at most `leave` pieces are pooled. Each round takes one piece at least."""
         items = self.items
-        size = np.array([len(x[2]) for x in items] or [0], float)
-        alive = np.ones(len(size), bool) if items else np.zeros(1, bool)
-        left = len(items)
+        if len(items) <= leave:
+            return
+        start, size = np.array([x[1] for x in items]), np.array([len(x[2]) for x in items])
+        free = np.maximum(0, self.context - start)  # tokens at the piece's head that bear no loss
+        alive, left = np.ones(len(items), bool), len(items)
+        demand = np.stack([size, np.ones_like(size), np.maximum(0, size - free)]) / np.maximum(self.limits, 1)
         while left > leave:
             tokens, segments, loss = self.max_tokens, self.max_segments, self.max_loss
             pieces = []
             while tokens and segments and left:
-                demand = np.stack([size, np.ones_like(size), size - 1]) / self.limits[:, None]
-                room = np.array([tokens, segments, loss], float) / self.limits
-                fits = alive & (size <= tokens) & (size - 1 <= loss)
-                if segments == 1:
+                room = np.array([tokens, segments, loss]) / np.maximum(self.limits[:, 0], 1)
+                fits = alive & (size <= tokens) & (size - free <= loss)
+                if segments == 1 and pieces:
                     fits &= size == tokens  # the last segment has to close the sequence
                 if fits.any():
                     at = int(np.argmax(np.where(fits, room @ demand, -1)))
                     part = items[at]
                     alive[at], left = False, left - 1
                 else:
-                    cut = int(min(tokens, loss + 1))
-                    longer = alive & (size > cut)
+                    cut = np.minimum(tokens, loss + free)
+                    longer = alive & (size > cut) & (cut > 0)
+                    if segments == 1:
+                        longer &= cut == tokens
                     if not longer.any():
                         break
-                    at = int(np.argmax(np.where(longer, size, -1)))
-                    doc, start, ids, total = items[at]
-                    part = (doc, start, ids[:cut], total)
-                    items[at] = (doc, start + cut, ids[cut:], total)
-                    size[at] -= cut
+                    at = int(np.argmax(np.where(longer, cut * (1 << 20) + size, -1)))
+                    doc, begin, ids, total = items[at]
+                    n = int(cut[at])
+                    part, items[at] = (doc, begin, ids[:n], total), (doc, begin + n, ids[n:], total)
+                    start[at], size[at], free[at] = begin + n, size[at] - n, max(0, free[at] - n)
+                    demand[:, at] = np.array([size[at], 1, max(0, size[at] - free[at])]) / np.maximum(self.limits[:, 0], 1)
                 pieces.append(part)
-                n = len(part[2])
-                tokens, segments, loss = tokens - n, segments - 1, loss - (n - 1)
+                tokens, segments, loss = tokens - len(part[2]), segments - 1, loss - self.loss(part[1], len(part[2]))
             if tokens == 0:
                 self._emit(pieces)
             else:
                 self._powers(pieces)
-        self.items = [x for x, a in zip(items, alive, strict=False) if a]
+        self.items = [x for x, a in zip(items, alive, strict=True) if a]
 
     def _powers(self, pieces: list) -> None:
         """Sequences of power-of-two lengths, which need no padding."""
@@ -139,15 +155,15 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-         max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048, pool: int = 512) -> DataFrame:
-    """One row per piece; the loss-bearing tokens of a piece are all but its first, which has nothing before it."""
+         max_tokens: int = 2048, max_segments: int = 8, max_loss: int = 2032, context: int = 16, pool: int = 512) -> DataFrame:
+    """One row per piece, with its loss-bearing tokens: those past the first `context` tokens of its document."""
     path = path or default_path()
-    if min(max_tokens, max_segments, pool) < 1 or max_loss < 0:
+    if min(max_tokens, max_segments, max_loss, pool) < 1 or context < 0:
         raise ValueError("limits must be positive")
 
     def run(batches):
         encode = _fast_encoder(path)
-        packer = Packer(TaskContext.get().partitionId() << 40, max_tokens, max_segments, max_loss, pool)
+        packer = Packer(TaskContext.get().partitionId() << 40, max_tokens, max_segments, max_loss, context, pool)
         end = np.array([end_id], np.uint32)
 
         def taken():

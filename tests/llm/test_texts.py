@@ -66,36 +66,45 @@ def test_bpe_query(spark, library):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_segments": 3, "max_loss": 1500}, {"max_tokens": 64, "pool": 8}])
+@pytest.mark.parametrize("limits", [{}, {"max_segments": 1}, {"max_segments": 1, "max_loss": 100, "context": 0}, {"max_segments": 3, "max_loss": 1500}, {"max_tokens": 64, "max_loss": 1, "context": 1, "pool": 8}, {"max_tokens": 64, "max_loss": 64, "pool": 1}])
 def test_packing(spark, library, limits):
     rng = random.Random(3)
-    texts = [None, "", "x", *(" ".join(rng.choices(["word", "längere", "thing,", "o"], k=rng.randint(1, 900))) for _ in range(120)), "a b " * 4000]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    texts = [None, "", "x", *(" ".join(rng.choices(["word", "längere", "thing,", "o"], k=rng.choice([rng.randint(1, 12), rng.randint(1, 900)]))) for _ in range(160)), "a b " * 4000]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("start", F.lit("clash")).withColumn("length", F.lit(0)).repartition(3)
     rows = packing.pack(docs, **limits).collect()
-    most, segments, loss = limits.get("max_tokens", 2048), limits.get("max_segments", 256), limits.get("max_loss", 2048)
+    most, segments, loss, context = (limits.get(k, v) for k, v in (("max_tokens", 2048), ("max_segments", 8), ("max_loss", 2032), ("context", 16)))
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_seq.setdefault(r.sequence_id, []).append(r)
     for doc, text in enumerate(texts):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
-        at = 0
-        for r in sorted(by_doc[doc], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids) and r.length > 0
-            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(ids)
+        times = 3 if doc == 3 else 1
+        covered = Counter()
+        for r in by_doc[doc]:
+            assert r.doc_tokens == len(ids) and r.length > 0 and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+            assert r.loss_tokens == sum(i >= context for i in range(r.start, r.start + r.length))
+            covered.update(range(r.start, r.start + r.length))
+        assert covered == {i: times for i in range(len(ids))}
     padding = total = 0
+    bound = Counter()
     for pieces in by_seq.values():
         pieces.sort(key=lambda r: r.offset)
         at = 0
         for r in pieces:
             assert r.offset == at
             at += r.length
-        assert at <= most and len(pieces) <= segments and sum(r.loss_tokens for r in pieces) <= loss
+        borne = sum(r.loss_tokens for r in pieces)
+        assert at <= most and len(pieces) <= segments and borne <= loss
+        bound.update({"tokens": at == most, "segments": len(pieces) == segments, "loss": borne == loss})
         total += at
         padding += 0 if at & (at - 1) == 0 else most - at
-    assert padding <= 0.02 * total or limits
+    assert padding == 0
+    if not limits:
+        assert all(bound[k] for k in ("tokens", "segments", "loss"))  # every limit binds somewhere
+        assert sum(len(p) == 1 and p[0].length < 64 for p in by_seq.values()) < 20
+    assert packing.pack(docs.limit(0), **limits).count() == 0
 
 
 def _base(text):
