@@ -119,27 +119,72 @@ def _base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
 
 
+def _kind(c):
+    if ord(c) < 128:
+        return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "_" if c in " \t\n\v\f\r" else "#" if c in "#*$%&|<>" else "."
+    lead = c.encode()[0]
+    return next(x for x in quality._LEADS if x[0] <= lead <= x[1])
+
+
+def _divergence(p, q):
+    a, b = sum(p.values()), sum(q.values())
+    if not a or not b:
+        return 0.0
+    total = 0.0
+    for k in p.keys() | q.keys():
+        x, y = p[k] / a, q[k] / b
+        total += sum(v * math.log2(2 * v / (x + y)) for v in (x, y) if v)
+    return math.sqrt(max(0.0, total / 2))
+
+
+def _judged(rows):
+    """Verdicts and distances of `rows` (text, lang), from the definitions."""
+    low = lambda t: WORD.findall(t.encode().lower().decode())
+    passing = [(t or "", lang) for t, lang in rows if not (_base(t or "")[0] < 50 or 100 * _base(t or "")[4] > 50 * _base(t or "")[0])]
+    langs, known, whole = {lang for _, lang in passing}, {}, Counter(_kind(c) for t, _ in passing for c in t)
+    for lang in langs:
+        texts = [t for t, x in passing if x == lang]
+        words = Counter(w for t in texts for w in low(t))
+        n = sum(words.values())
+        if n >= 2000:
+            common = set(quality.FUNCTION_WORDS[lang].split()) if lang in quality.FUNCTION_WORDS else {w for w, c in words.items() if 400 * c >= n}
+            known[lang] = Counter(_kind(c) for t in texts for c in t), common, Counter(w if w in common else "" for t in texts for w in low(t))
+    out = []
+    for t, lang in rows:
+        t = t or ""
+        base = _base(t)
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        classes, common, words = known.get(lang, (whole, None, None))
+        far = _divergence(Counter(_kind(c) for c in t), classes)
+        apart = _divergence(Counter(w if w in common else "" for w in low(t)), words) if words else 0.0
+        kept = not failed and far <= 0.20 + 0.9 / math.sqrt(base[0]) and apart <= 0.15 + 1.7 / math.sqrt(base[0])
+        out.append((*base, failed, kept, far, apart))
+    return out
+
+
 def test_quality(spark):
     rng = random.Random(5)
     common = quality.FUNCTION_WORDS["en"].split()[:20]
-    good = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 300))).capitalize() + "."
+    good = lambda letters="abcdefgh", common=common: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(rng.randint(60, 300))).capitalize() + "."
     texts = [good() for _ in range(60)]
-    junk = ["#$ %& " * 100 + " ".join(f"{i}|" for i in range(80)), " ".join(f"{i * 7919}" for i in range(300))]
-    odd = [None, "", "a\na\n\nb\na", "x y z x y z x y", "é ñ\x1c中\n" * 3]
-    rows = [(i, t, "en") for i, t in enumerate([*texts, *junk, *odd])] + [(900, texts[0], None), (901, texts[0], "xx")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("kept", F.lit("clash"))
-    got = {r.doc_id: r for r in quality.judge(docs).collect()}
-    for doc, text, _ in rows:
-        base = _base(text or "")
-        r = got[doc]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
-        assert r.base_failed == (base[0] < 50 or 100 * base[4] > 50 * base[0])
-        assert not (r.kept and r.base_failed)
-    assert all(got[i].kept for i in range(60)) and not any(got[60 + i].kept for i in range(2))
-    kept = quality.keep(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.kept}
-    assert quality.judge(docs.limit(0)).count() == 0
+    junk = ["#$ %& " * 100 + " ".join(f"{i}|" for i in range(80)), " ".join(f"{i * 7919}" for i in range(300)), "😀 中 " * 20 + " ".join(f"é{i}" for i in range(90))]
+    odd = [None, "", "a\na\n\nb\na", "x y z x y z x y", "é ñ\x1c中\n" * 3, "long " * 300_000]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, *junk, *odd])] + [(900, texts[0], None), (901, texts[0], "xx"), (0, texts[0], "en"), (None, texts[1], "en")]
+    rows += [(1000 + i, good("абвгд", ["и", "в", "не", "на"]), "bg") for i in range(30)] + [(1100, good(), "bg"), (1101, good("абвгд", ["z"]), "bg")] + [(1200 + i, good("ðþs", ["og"]), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("kept", F.lit("clash")).withColumn("_reference", F.lit("clash"))
+    want = _judged([r[1:] for r in rows])
+    for most in (4096, 2):  # with 2, the smaller languages are joined
+        got = sorted((tuple(r) for r in quality.judge(docs, most=most).collect()), key=str)
+        for mine, theirs in zip(got, sorted(((r[0], *w) for r, w in zip(rows, want)), key=str), strict=True):
+            assert mine[:8] == theirs[:8]
+            assert mine[8:] == pytest.approx(theirs[8:], abs=1e-12)
+        kept = quality.keep(docs, most=most)
+        assert kept.columns == docs.columns
+        assert Counter(map(tuple, kept.select("doc_id", "text", "lang").collect())) == Counter(r for r, w in zip(rows, want) if w[6])
+    by = {r[0]: w[6] for r, w in zip(rows, want)}
+    assert all(by[i] for i in range(60)) and not any(by[60 + i] for i in range(3)) and by[1000] and not by[1100]
+    assert quality.judge(docs.limit(0)).count() == 0 and quality.keep(docs.limit(0)).count() == 0
+    assert quality.keep(docs.where("lang = 'en'").drop("lang")).count() > 50
 
 
 def test_distance():
