@@ -18,10 +18,14 @@ Search among distinct fingerprints:
 
 `keep_one`, the pipeline's stage, takes shingles of five words and also links texts whose shingle sets have a
 Jaccard similarity of 0.8 or more. Such texts differ in 4 to 15 of 64 bits, which no search by pigeonholes
-covers in linear work, so their candidates come from bands of least shingle hashes and are verified exactly.
+covers in linear work, so their candidates come from bands of least shingle hashes, and every pair that shares a
+band is either verified or joined by others that are. Each text of another shingle set takes part, also those
+that share a fingerprint. Shingles are compared by 32 bits of their hashes: for sets of n shingles a chance
+agreement changes a similarity by 1/n with a probability of about n*n/2**32.
 
 Defined results: null and wordless texts have fingerprint zero; fewer words than a shingle count as one
-shingle; repeated rows share a fingerprint and so a component; a null id sorts after all others.
+shingle; repeated rows share a fingerprint and so a component; a null id sorts after all others; other columns
+are ignored by `group` and kept by `keep_one`; an empty table gives none; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -203,12 +207,12 @@ def links(nodes: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
     return found.unionAll(star.where("a != b"))
 
 
-def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`(fp, one)` for each of the distinct fingerprints `nodes(fp, least)`: the least (doc_id, h) of its component."""
+def _named(nodes: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame:
+    """`(node, one)` for each of the distinct `nodes(node, least)`: the least (doc_id, h) of its component."""
     found = components(edges)
-    named = nodes.select("fp", "least").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = nodes.select(node, "least").join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
     named = materialize(named, "named")
-    return named.join(named.groupBy("component").agg(F.min("least").alias("one")), "component").select("fp", "one")
+    return named.join(named.groupBy("component").agg(F.min("least").alias("one")), "component").select(node, "one")
 
 
 # --- links by the similarity of shingle sets ------------------------------------------------------------------
@@ -249,8 +253,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int
 
 def _verified(tried: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs `(a, b)` whose shingle sets have at least this similarity."""
-    grams = nodes.select("fp", "grams")
-    both = tried.join(grams.withColumnsRenamed({"fp": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"fp": "b", "grams": "y"}), "b")
+    grams = nodes.select("node", "grams")
+    both = tried.join(grams.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
     return shared.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("a", "b")
 
@@ -290,26 +294,27 @@ def joined(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = least
 
 
-def _rest(crowded: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Edges that join what `edges` leave apart among the members `(band, key, fp)` of crowded keys.
+def _rest(crowded: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float, block: int, most_grams: int = 1 << 22) -> DataFrame:
+    """Edges that join what `edges` leave apart among the members `(band, key, node, m)` of crowded keys.
 
     In each key, members outside the component with the most members are compared with all members, in pairs of
-    blocks of about `block` members each; a pair of blocks is one product of matrices and gives a spanning forest.
+    blocks of about `block` members, or `most_grams` shingles, each; a pair of blocks is one product of matrices and gives a spanning forest.
     """
-    named = crowded.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("band", "key", "fp", F.coalesce("component", "fp").alias("component"))
+    named = crowded.join(components(edges), "node", "left").select("band", "key", "node", "m", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "members")
-    parts = named.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("most.n < n")
-    sizes = sizes.select("band", "key", F.col("most.component").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("nr"), F.ceil(F.col("most.n") / block).cast("int").alias("ng"))
+    parts = named.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+    sizes = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "component", "m")).alias("most")).where("most.n < n")
+    blocks = lambda n, m: F.ceil(F.greatest(n / block, m / most_grams)).cast("int")
+    sizes = sizes.select("band", "key", F.col("most.component").alias("most"), blocks(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m")).alias("nr"), blocks(F.col("most.n"), F.col("most.m")).alias("ng"))
     members = named.join(materialize(sizes, "open"), ["band", "key"]).withColumn("rest", F.col("component") != F.col("most"))
-    own = F.when(F.col("rest"), F.expr("pmod(xxhash64(fp), nr)")).otherwise(F.expr("nr + pmod(xxhash64(fp), ng)")).cast("int")
+    own = F.when(F.col("rest"), F.expr("pmod(xxhash64(node), nr)")).otherwise(F.expr("nr + pmod(xxhash64(node), ng)")).cast("int")
     meets = F.when(F.col("rest"), F.expr("sequence(0, nr + ng - 1)")).otherwise(F.expr("sequence(0, nr - 1)"))
-    tasks = members.withColumn("own", own).select("band", "key", "fp", "own", F.explode(meets).alias("other"))
-    tasks = tasks.select("band", "key", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(nodes.select("fp", "grams"), "fp")
+    tasks = members.withColumn("own", own).select("band", "key", "node", "own", F.explode(meets).alias("other"))
+    tasks = tasks.select("band", "key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(nodes.select("node", "grams"), "node")
 
     def run(found: pa.Table) -> pa.Table:
         found = found.combine_chunks()
-        fps, at = found["fp"].to_numpy(), found["own"].to_numpy()
+        nodes, at = found["node"].to_numpy(), found["own"].to_numpy()
         sets = [np.asarray(g.values) for g in found["grams"]]
         left = np.flatnonzero(at == found["i"][0].as_py())
         right = np.flatnonzero(at == found["j"][0].as_py())
@@ -320,8 +325,8 @@ def _rest(crowded: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: fl
             rows, columns = joined(n >= similarity * (m[left][:, None] + m[right] - n))
             for side, names in ((left, rows), (right, columns)):
                 linked = names < len(left)
-                a.append(fps[side[linked]])
-                b.append(fps[left[names[linked]]])
+                a.append(nodes[side[linked]])
+                b.append(nodes[left[names[linked]]])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
@@ -329,29 +334,29 @@ def _rest(crowded: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: fl
 
 
 def similar(nodes: DataFrame, similarity: float = 0.8, bucket: int = 64, *, known: DataFrame | None = None, block: int = 512) -> DataFrame:
-    """Edges `(a, b)` that, beside those of `known`, join all of `nodes(fp, bands, grams)` that share a band and whose
+    """Edges `(a, b)` that, beside those of `known`, join all of `nodes(node, bands, grams)` that share a band and whose
     shingle sets have at least this Jaccard similarity.
 
     All pairs of a band's key with up to `bucket` members are verified. In a larger one each member is first tried
     against the one whose bands' keys have the most members in all, which in a group of near copies is nearest to
     what they are copies of. All pairs that the links do not join by then are verified in blocks.
     """
-    keys = nodes.select("fp", F.size("grams").alias("m"), F.posexplode("bands").alias("band", "key"))
+    keys = nodes.select("node", F.size("grams").alias("m"), F.posexplode("bands").alias("band", "key"))
     full = materialize(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     placed = materialize(keys.join(full, ["band", "key"]), "placed")
-    few = placed.where(F.col("n") <= bucket).select("band", "key", "fp", "m")
+    few = placed.where(F.col("n") <= bucket).select("band", "key", "node", "m")
     sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    tried = few.alias("x").join(few.alias("y"), ["band", "key"]).where("x.fp < y.fp").where(sized(F.col("x.m"), F.col("y.m"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    tried = few.alias("x").join(few.alias("y"), ["band", "key"]).where("x.node < y.node").where(sized(F.col("x.m"), F.col("y.m"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     crowded = placed.where(F.col("n") > bucket)
     if crowded.isEmpty():
         return _verified(materialize(tried.distinct(), "tried"), nodes, similarity)
-    scores = crowded.groupBy("fp").agg(F.sum("n").alias("score"))
-    crowded = materialize(crowded.join(scores, "fp"), "crowded")
-    ones = crowded.groupBy("band", "key").agg(F.max(F.struct("score", "fp", "m")).alias("one"))
-    stars = crowded.join(ones, ["band", "key"]).where((F.col("fp") != F.col("one.fp")) & sized(F.col("m"), F.col("one.m"))).select(F.least("fp", "one.fp").alias("a"), F.greatest("fp", "one.fp").alias("b"))
+    scores = crowded.groupBy("node").agg(F.sum("n").alias("score"))
+    crowded = materialize(crowded.join(scores, "node"), "crowded")
+    ones = crowded.groupBy("band", "key").agg(F.max(F.struct("score", "node", "m")).alias("one"))
+    stars = crowded.join(ones, ["band", "key"]).where((F.col("node") != F.col("one.node")) & sized(F.col("m"), F.col("one.m"))).select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b"))
     tried = materialize(tried.unionAll(stars).distinct(), "tried")
     found = materialize(_verified(tried, nodes, similarity), "similar")
-    return found.unionAll(_rest(crowded.select("band", "key", "fp"), nodes, found if known is None else found.unionAll(known), similarity, block))
+    return found.unionAll(_rest(crowded.select("band", "key", "node", "m"), nodes, found if known is None else found.unionAll(known), similarity, block))
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -370,16 +375,30 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of `docs`, with all their columns, that are the first of their group by id and then text hash; of repeated rows one.
 
     Groups are made by links between fingerprints within `max_bits` bits and by links between shingle sets of
-    at least `similarity`. Of texts with one fingerprint, the first stands for all in the second search.
+    at least `similarity`. A node is a shingle set with its fingerprint, and has a number, so no two can clash.
     """
     marked = sketches(docs, id_col, text_col, words)
-    nodes = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "bands", "grams")).alias("s"))
-    nodes = materialize(nodes.select("fp", F.struct("s.doc_id", "s.h").alias("least"), "s.bands", "s.grams"), "nodes")
-    near = materialize(links(nodes.select("fp"), max_bits), "near")
+    nodes = marked.groupBy("fp", F.xxhash64("grams").alias("gh")).agg(F.min(F.struct("doc_id", "h", "bands", "grams")).alias("s"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "fp", F.struct("s.doc_id", "s.h").alias("least"), "s.bands", "s.grams")
+    nodes = materialize(nodes, "nodes")
+    ones = materialize(nodes.groupBy("fp").agg(F.min("node").alias("one")), "fingerprints")
+    bits = links(ones.select("fp"), max_bits)
+    first, second = (ones.select(F.col("fp").alias(c), F.col("one").alias(f"{c}_node")) for c in "ab")
+    near = bits.join(first, "a").join(second, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    near = materialize(near.unionAll(nodes.select("fp", "node").join(ones, "fp").where("node != one").select(F.col("node").alias("a"), F.col("one").alias("b"))), "near")
     edges = near.unionAll(similar(nodes, similarity, known=near))
-    first = materialize(_named(nodes, edges).select("one").distinct(), "first").select(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
-    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
-    return keyed.join(first.hint("shuffle_merge"), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    by_id, by_hash = _free(docs, "_id"), _free(docs, "_h")
+    kept = materialize(_named(nodes, edges, "node").select("one").distinct(), "first").select(F.col("one.doc_id").alias(by_id), F.col("one.h").alias(by_hash))
+    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias(by_id), F.xxhash64(F.col(text_col).cast("string")).alias(by_hash))
+    return keyed.join(kept.hint("shuffle_merge"), [by_id, by_hash], "left_semi").dropDuplicates([by_id, by_hash]).select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

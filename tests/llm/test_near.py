@@ -75,6 +75,18 @@ def test_simhash_groups(spark):
     assert simhash.group(docs.limit(0)).count() == 0
 
 
+def _sharing(texts, words=5):
+    """Groups of texts: those that are 0.8 similar and share a band, and those within two bits; least index of each."""
+    sets = [set(zip(*(t[i:] for i in range(words)))) or {tuple(t)} for t in texts]
+    hashes = [simhash.shingle_hashes(" ".join(t), words) for t in texts]
+    keys = [set(enumerate(simhash.bands(np.unique(h)))) for h in hashes]
+    fps = [simhash.majority(h) for h in hashes]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if keys[i] & keys[j] and alike(i, j) or bin(fps[i] ^ fps[j]).count("1") <= 2]
+    missed = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j) and not keys[i] & keys[j]]
+    return _groups(range(len(texts)), close), len(missed)
+
+
 @pytest.mark.parametrize("bucket", [64, 1])
 def test_similar_texts(spark, bucket, monkeypatch):
     monkeypatch.setattr(simhash.similar, "__defaults__", (0.8, bucket))
@@ -87,18 +99,33 @@ def test_similar_texts(spark, bucket, monkeypatch):
             for i in rng.sample(range(len(copy)), edits):
                 copy[i] = "changed"
             texts.append(copy)
-    sets = [set(zip(*(t[i:] for i in range(5)))) for t in texts]
-    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    want = _groups(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)])
-    docs = spark.createDataFrame([(i, " ".join(t), i, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, fp int, n int")
-    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    if bucket == 64:
-        assert kept == set(want.values())
-    else:
-        assert set(want.values()) <= kept <= set(want)
+    texts += [["one", "two"], ["three"], text(4)]
+    want, missed = _sharing(texts)
+    assert missed <= 1
+    names = {"_id": 1, "_h": 2, "fp": 3, "n": 4, "node": 5, "One": 6}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").withColumns({k: F.lit(v) for k, v in names.items()})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_one_fingerprint_many_texts(spark):
+    """Texts that share a fingerprint with another are tried for themselves."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    chain = [base]
+    for _ in range(40):  # each a little further from the first
+        step = list(chain[-1])
+        for i in rng.sample(range(400), 4):
+            step[i] = f"x{rng.randrange(10**6)}"
+        chain.append(step)
+    rng.shuffle(chain)
+    want, _ = _sharing(chain)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(chain)] + [(None, " ".join(chain[0])), (None, None), (None, "")], "doc_id bigint, text string")
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in simhash.keep_one(docs).collect()) == sorted([*set(want.values()), -1])
+
+
 @pytest.mark.parametrize("bucket, block", [(64, 512), (64, 50), (1, 7)])
 def test_crowded_keys_lose_nothing(spark, bucket, block, monkeypatch):
     monkeypatch.setattr(simhash.similar, "__defaults__", (0.8, bucket))
@@ -114,12 +141,8 @@ def test_crowded_keys_lose_nothing(spark, bucket, block, monkeypatch):
                 copy[i] = f"x{rng.randrange(10**6)}"
             texts.append(copy)
     rng.shuffle(texts)
-    sets = [set(zip(*(t[i:] for i in range(5)))) for t in texts]
-    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    close = [(i, j) for i in range(len(texts)) for j in range(i) if alike(i, j)]
-    keys = [set(enumerate(simhash.bands(np.unique(simhash.shingle_hashes(" ".join(t), 5))))) for t in texts]
     # a link at the edge of 0.8 may share no band; all that share one have to be found
-    want = _groups(range(len(texts)), [(i, j) for i, j in close if keys[i] & keys[j]])
+    want, _ = _sharing(texts)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values())
 
