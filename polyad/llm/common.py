@@ -6,9 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a local one if Spark itself is local (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="polyad-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -70,8 +69,18 @@ def release() -> None:
 atexit.register(release)
 
 
-def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], total: int, how: str = "inner", share: int = 512) -> DataFrame:
+    """`rows` joined with `unique(keys, n, ...)`, which has one row for each key; n is how many of the `total` rows have it.
+
+    Keys with at least 1/share of all rows, no more than `share` of them, are broadcast; the others are shuffled,
+    and none of them is hot. `unique` has to be stored, as it is read more than once.
+    """
+    hot = unique.where(F.col("n") * share >= total).drop("n")
+    if hot.isEmpty():
+        return rows.join(unique.drop("n"), keys, how)
+    rest = unique.where(F.col("n") * share < total).drop("n")
+    few = F.broadcast(hot)
+    return rows.join(few, keys, how).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

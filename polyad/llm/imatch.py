@@ -15,16 +15,20 @@ share terms however large the corpus. Where its counted size is within `most_sen
 are joined with it by shuffle. The terms of a document are then gathered again; they have never left the
 partition of their text if the band was broadcast.
 
-The next document in id order is found without a global sort: ids are cut at quantiles into buckets, each
-bucket is sorted for itself, and the first rows of the following bucket are lent to its end.
+The next document in id order is found without a global sort: ids are cut at quantiles into buckets, an id that
+many rows have also by hashes of their texts; each bucket is sorted for itself, and the first rows of the
+following bucket are lent to its end. There are four buckets for each shuffle partition, so they do not grow with
+the table.
 
 Defined results: null texts count as empty and null ids as the least; rows of equal id are in the order of
-their texts; the table's last row is followed by its first; a single row is followed by itself; other
-columns are ignored.
+hashes of their texts; the table's last row is followed by its first; a single row is followed by itself; repeated
+rows follow one another; other columns are ignored; an empty table gives none; texts may be of any length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,32 +84,44 @@ def likeness(a: Column, b: Column, lexicons: int = LEXICONS) -> Column:
     return total / lexicons
 
 
-def _bucket(bounds: list[int]) -> str:
-    """SQL for the number of bounds at or below `key`, as a binary search."""
-    if not bounds:
-        return "0"
+def bounds(cuts: list[int]) -> list[tuple[int, int]]:
+    """Places (key, hash) where buckets begin, from quantiles of keys; a key that is several quantiles is cut by hashes as well."""
+    out = []
+    for key, n in sorted(Counter(cuts).items()):
+        if key > _LEAST:
+            out.append((key, _LEAST))
+        if n > 1:
+            out += [(key, _LEAST + 2**64 * i // n) for i in range(1, n)] + ([(key + 1, _LEAST)] if key < 2**63 - 1 else [])
+    return sorted(set(out))
 
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(key < {bounds[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
-    return tree(0, len(bounds))
+def _bucket(found: list[tuple[int, int]]) -> Column:
+    """How many of the bounds are at or below (key, h): first among every n-th, then among those that follow it."""
+    if not found:
+        return F.lit(0)
+    step = int(len(found) ** 0.5) + 1
+    kind = "array<struct<k: bigint, h: bigint>>"
+    rows = lambda some: "[" + ",".join('{"k":%d,"h":%d}' % x for x in some) + "]"
+    here = F.struct(F.col("key").alias("k"), F.col("h").alias("h"))
+    below = lambda array: F.size(F.filter(array, lambda b: b <= here))
+    coarse = F.from_json(F.lit(rows(found[::step])), kind)
+    fine = F.from_json(F.lit("[" + ",".join([rows([])] + [rows(found[i + 1 : i + step]) for i in range(0, len(found), step)]) + "]"), f"array<{kind}>")
+    return _let(below(coarse), lambda c: F.when(c == 0, F.lit(0)).otherwise(1 + (c - 1) * step + below(F.element_at(fine, c + 1)))).cast("int")
 
 
 def _in_order(rows: DataFrame, buckets: int) -> tuple[DataFrame, Window]:
     """`rows(key, text)` with `bucket` and `guest`; in each bucket the window order ends with a guest that follows it."""
     cuts = rows.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("q")).first().q or []
-    placed = rows.withColumn("bucket", F.expr(_bucket(sorted(x for x in set(cuts) if x > _LEAST))))
-    firsts = sorted(placed.groupBy("bucket").agg(F.min("key").alias("key")).collect())  # at most `buckets` rows
-    guests = [(r.bucket, r.key, firsts[i - 1].bucket) for i, r in enumerate(firsts)]
+    placed = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", _bucket(bounds(cuts)))
+    firsts = sorted(placed.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("at")).select("bucket", "at.*").collect())  # at most a row for each bucket
+    guests = [(r.bucket, r.key, r.h, firsts[i - 1].bucket) for i, r in enumerate(firsts)]
+    window = Window.partitionBy("bucket").orderBy("guest", "key", "h", "text")
     if not guests:
-        return placed.withColumn("guest", F.lit(0)), Window.partitionBy("bucket").orderBy("guest", "key", "text")
-    lent = rows.sparkSession.createDataFrame(guests, "bucket int, key bigint, host int")
-    guest = placed.join(F.broadcast(lent), ["bucket", "key"]).select("key", "text", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
-    both = placed.select("key", "text", "bucket", F.lit(0).alias("guest")).unionAll(guest)
-    return both, Window.partitionBy("bucket").orderBy("guest", "key", "text")
+        return placed.withColumn("guest", F.lit(0)), window
+    lent = rows.sparkSession.createDataFrame(guests, "bucket int, key bigint, h bigint, host int")
+    guest = placed.join(F.broadcast(lent), ["bucket", "key", "h"]).select("key", "h", "text", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
+    both = placed.select("key", "h", "text", "bucket", F.lit(0).alias("guest")).unionAll(guest)
+    return both, window
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicons: int = LEXICONS, most_sent: int = 1 << 19) -> DataFrame:
@@ -113,7 +129,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kept = materialize(band(rows.select("text")), "band")
-    ordered, window = _in_order(rows, min(max(4 * shuffle_partitions(spark), 8), 2048))
+    ordered, window = _in_order(rows, max(4 * shuffle_partitions(spark), 8))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     following = ordered.select("*", F.coalesce(F.lead("text").over(window), F.lit("")).alias("following"), F.row_number().over(window).alias("at"))
@@ -131,7 +147,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cell = termed.select("bucket", "at", F.explode(F.concat(*cells, last)).alias("c")).select("bucket", "at", "c.*")
     few = kept.count() <= most_sent
     known = kept.select("h", F.lit(True).alias("kept"))
-    joined = cell.join(F.broadcast(known) if few else known, "h", "left").where("kept or doc is not null")
+    if few:
+        joined = cell.join(F.broadcast(known), "h", "left").where("kept or doc is not null")
+    else:  # terms out of the band leave before the shuffle's other side is read; documents don't take part in it
+        joined = cell.where("h is not null").join(known, "h").unionByName(cell.where("h is null").withColumn("kept", F.lit(None).cast("boolean")))
     gathered = joined.groupBy("bucket", "at").agg(
         F.max("doc").alias("doc"),
         F.collect_list(F.when(F.col("where").bitwiseAND(F.lit(1)) > 0, F.col("h"))).alias("own"),
