@@ -26,8 +26,12 @@ spread by their own hash, and of which equals are folded before the exchange.
 
 Texts are cut into stretches of 1 MB that overlap by a window, so memory is bounded for long texts.
 
+Runs count as equal by two hashes, 128 bits together: that of their anchor (step 1 groups by it) and that of all
+their bytes with the anchor's place. Only the merge compares bytes.
+
 Defined results: a null text counts as empty; texts shorter than the window lose nothing; repeated rows
-count as repeated texts; other columns are ignored by `dedup` and kept by `clean`.
+count as repeated texts, also if id and text are equal; a null id is an id like any other; other columns are
+ignored by `dedup` and kept by `clean`; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.llm.common import materialize, shuffle_partitions, table
+from polyad.llm.common import join_hot, materialize, shuffle_partitions, table
 
 GRAM = 32
 _STRETCH = 1 << 20
@@ -368,14 +372,17 @@ def repeated(texts: DataFrame, length: int = 200, crowd: int = 20_000) -> DataFr
     spark = texts.sparkSession
     anchors = materialize(_anchors(texts, length), "anchors")
     by_anchor = anchors.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    # written first, so that both sides of the join are plain exchanges, which adaptive execution can split at a hot anchor
-    by_anchor = materialize(by_anchor.select("k", (F.col("c0") == F.col("c1")).alias("same")), "hashes")
-    shared = materialize(anchors.join(by_anchor, "k"), "shared")
+    # written first, so that the hot anchors are known and both sides of the join are plain exchanges
+    by_anchor = materialize(by_anchor.select("k", "n", (F.col("c0") == F.col("c1")).alias("same")), "hashes")
+    total = by_anchor.agg(F.sum("n")).first()[0] or 0
+    shared = materialize(join_hot(anchors, by_anchor, ["k"], total), "shared")
     mixed = shared.where("not same")
     runs = materialize(mixed.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "s", "e")).alias("one")), "runs")
     crowds = runs.groupBy("k").agg(F.count("*").alias("d")).where(F.col("d") > crowd).select("k", F.lit(True).alias("crowded"))
-    again = runs.where("n > 1").select("k", "c")
-    whole = shared.where("same").select("doc_id", "h", "s", "e").unionAll(mixed.join(again, ["k", "c"], "left_semi").select("doc_id", "h", "s", "e"))
+    again = runs.where("n > 1").select("k", "c", "n")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    repeats = join_hot(mixed, again, ["k", "c"], total, "left_semi")
+    whole = shared.where("same").select("doc_id", "h", "s", "e").unionAll(repeats.select("doc_id", "h", "s", "e"))
     need = runs.join(crowds, "k", "left").select("one.*", "k", F.coalesce("crowded", F.lit(False)).alias("crowded"), (F.col("n") > 1).alias("again"))
     need = need.groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e", "k", "crowded", "again")).alias("need"))
     parts = 2 * shuffle_partitions(spark)
@@ -424,10 +431,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_
 
         return pd.Series([_without(d, covered([(x["s"], x["e"]) for x in f], length, len(d))).decode("utf-8", "ignore") if f is not None else d.decode() for d, f in zip(data, found, strict=True)], dtype=object)
 
-    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_h"))
-    found = repeated(texts, length).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("found").alias("_found"))
-    joined = keyed.join(found, ["_id", "_h"], "left")
-    joined = joined.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(cut(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), F.col("_found"))))
+    taken = {c.lower() for c in names}
+    by_id, by_hash, spans = (next(c + "_" * k for k in range(len(names) + 1) if c + "_" * k not in taken) for c in ("_id", "_h", "_found"))
+    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias(by_id), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias(by_hash))
+    found = repeated(texts, length).select(F.col("doc_id").alias(by_id), F.col("h").alias(by_hash), F.col("found").alias(spans))
+    joined = keyed.join(found, [by_id, by_hash], "left")
+    joined = joined.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(cut(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), F.col(spans))))
     if size_col in names:
         joined = joined.withColumn(size_col, F.length(text_col).cast(kinds[size_col]))
     return joined.select(*names)
