@@ -11,13 +11,12 @@ word's count, with `floor` added to each. They depend on the weights before, so
 expectation-maximisation over the frequent words (see below) precede the round over all words.
 
 Each distinct word is scored once. Beside the model's score stands that of add-one word counts. The table of
-words grows with the corpus, so it is not sent around whole: words that make up at least 1/2**18 of all
-training tokens (no more than 2**18 of them) go to every worker; the others, which are rare and so have no
-hot key, are joined. (A word that is frequent in held-out documents alone is joined as well; adaptive
-execution splits such a key.)
+words grows with the corpus, so it is not sent around whole: words that make up at least 1/2**18 of all words,
+and as many times more as they have stretches of 64 characters, go to every worker (no more than 2**18 words and
+16 M characters, whatever their lengths); the others, which are rare and so have no hot key, are joined.
 
 Defined results: a null text counts as empty: one token, the end; repeated rows are scored each for itself
-and all train; a null id trains; without training documents all weights are those of the vocabulary's order,
+and all train; a null id trains; words may be of any length; other columns are ignored; without training documents all weights are those of the vocabulary's order,
 and N is 0, V is 0.
 """
 
@@ -25,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import math
-import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -33,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.llm.common import materialize, shuffle_partitions, table
+from polyad.llm.common import ascii_lower, materialize, shuffle_partitions, table
 from polyad.llm.tokenizer import default_path
 
 FREQUENT = 1 << 18
@@ -47,7 +45,7 @@ def vocabulary(path: str) -> tuple[list[str], list[float]]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = [(model.id_to_piece(i), model.get_score(i), model.is_byte(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    plain = sorted((x for x in found if not x[2] and _MARK not in x[0][1:] and x[0] == x[0].lower()), key=lambda x: (-x[1], x[0]))
+    plain = sorted((x for x in found if not x[2] and _MARK not in x[0][1:] and x[0] == ascii_lower(x[0])), key=lambda x: (-x[1], x[0]))
     names = [x[0] for x in plain] + [f"<0x{b:02X}>" for b in range(256)]
     return names, [1 / (r + 1) for r in range(len(names))]
 
@@ -144,43 +142,42 @@ def held_out_col(id_col: str):
 
 
 def word_counts(rows: DataFrame, most: int = 250_000) -> DataFrame:
-    """`(word, c)` for all words of `rows(text, held_out)`; c counts in the rows that train and may be 0."""
+    """`(word, c, t)` for all words of `rows(text, held_out)`; c counts in the rows that train and may be 0, t in all."""
 
     def run(batches):
         counts: Counter = Counter()
+        held_counts: Counter = Counter()
 
         def taken():
-            rows = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+            words = list(counts | held_counts)
+            c, t = [counts[w] for w in words], [counts[w] + held_counts[w] for w in words]
+            rows = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array(t, pa.int64())], ["word", "c", "t"])
             counts.clear()
+            held_counts.clear()
             return rows
 
         for batch in batches:
             for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().lower().split()
-                if held:
-                    for word in words:
-                        if word not in counts:
-                            counts[word] = 0
-                else:
-                    counts.update(words)
-                if len(counts) >= most:
+                (held_counts if held else counts).update(words)
+                if len(counts) + len(held_counts) >= most:
                     yield taken()
         yield taken()
 
-    return rows.select("text", "held_out").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("text", "held_out").mapInArrow(run, "word string, c bigint, t bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 def word_scores(words: DataFrame, path: str, logs: list[float]) -> DataFrame:
-    """`words(word, c)` with `p`, the natural logarithm of each word's marginal probability: once for each distinct word."""
+    """`words(word, c, t)` with `p`, the natural logarithm of each word's marginal probability: once for each distinct word."""
     names = vocabulary(path)[0]
 
     def run(batches):
         lattice = Lattice(names, logs)
         for batch in batches:
             found = [lattice.word(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["word", "c", "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["word", "c", "t", "p"])
 
-    return words.select("word", "c").mapInArrow(run, "word string, c bigint, p double")
+    return words.select("word", "c", "t").mapInArrow(run, "word string, c bigint, t bigint, p double")
 
 
 def train(counts: DataFrame, frequent: DataFrame, documents: int, path: str, warm: int = 3, floor: float = 0.1) -> tuple[list[str], list[float], float]:
@@ -213,13 +210,14 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)` for every row."""
     path = path or default_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out_col(id_col).alias("held_out"))
-    words = materialize(word_counts(rows), "words")
+    parts = shuffle_partitions(docs.sparkSession)
+    words = materialize(word_counts(rows).repartition(parts), "words")  # dealt evenly: scoring takes far longer than reading
     documents = rows.where("not held_out").count()
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     n, v = sums.n + documents, sums.v + (documents > 0)
     share = math.log10(n + v + 1)
-    common = (F.col("c") * FREQUENT >= max(n, 1)) & (F.col("c") > 1)  # no more than FREQUENT words, as they sum to n at most
-    often = materialize(words.where(common).repartition(shuffle_partitions(docs.sparkSession)), "frequent")
+    common = (F.col("t") * FREQUENT >= sums.t * F.ceil(F.length("word") / 64)) & (F.col("t") > 1)
+    often = materialize(words.where(common).where("c > 0").repartition(parts), "frequent")
     _, logs, end = train(words.where("c > 0"), often, documents, path, warm)
     known = materialize(word_scores(words, path, logs), "scores")
     frequent = {r.word: (r.c, r.p) for r in known.where(common).collect()}
@@ -227,7 +225,7 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     sent = session.broadcast(frequent)
 
     def run(batches):
-        known_of = {w.encode(): (math.log10(c + 1) - share, p) for w, (c, p) in sent.value.items()}
+        known_of = {w.encode(): (math.log10(c + 1) - share, p, c > 0) for w, (c, p) in sent.value.items()}
         row_id = TaskContext.get().partitionId() << 33
         columns: list[list] = [[] for _ in range(4)]
 
@@ -249,10 +247,10 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
                 columns[1] += [row_id] * len(rare)
                 columns[2] += [counts.pop(w) for w in rare]
                 columns[3] += [None] * len(rare)
-                known = sum(counts.values())
-                base, total = math.log10(documents + 1) - share, end
+                known, base, total = 0, math.log10(documents + 1) - share, end
                 for word, times in counts.items():
-                    per_base, per_word = known_of[word]
+                    per_base, per_word, trained = known_of[word]
+                    known += times * trained
                     base += times * per_base
                     total += times * per_word
                 # a key of its own that no word can have: the document's sums travel with its rare words
@@ -265,8 +263,8 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
                     yield taken()
         yield taken()
 
-    parts = rows.select("doc_id", "text", "held_out").mapInArrow(run, "word string, row bigint, n bigint, doc struct<doc_id: bigint, held_out: boolean, tokens: bigint, known: bigint, base: double, score: double>")
-    joined = parts.join(known.hint("shuffle_merge"), "word", "left")
+    pieces = rows.select("doc_id", "text", "held_out").mapInArrow(run, "word string, row bigint, n bigint, doc struct<doc_id: bigint, held_out: boolean, tokens: bigint, known: bigint, base: double, score: double>")
+    joined = pieces.join(known.where(~common).drop("t").hint("shuffle_merge"), "word", "left")
     per_row = joined.groupBy("row").agg(
         F.max("doc.doc_id").alias("doc_id"),
         F.max("doc.held_out").alias("held_out"),
@@ -278,9 +276,5 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     return per_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-def crc_held_out(doc_id) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
-
-
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

@@ -186,9 +186,16 @@ def test_repeats(spark, crowd, monkeypatch):
     texts.append(texts[40])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("h", F.lit("x"))
     want = _removed([(t or "").encode() for t in texts], 200)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
-    assert got == dict(enumerate(want))
-    clean = suffix_dedup.clean(docs).select("doc_id", "text").collect()
+    found = [tuple(r) for r in suffix_dedup.dedup(docs).collect()]
+    got = {r[0]: r[1:] for r in found}
+    assert got == dict(enumerate(want)) and len(found) == len(want)
+    # null ids and repeated rows
+    rows = [(i % 30 if i % 5 else None, t) for i, t in enumerate(texts)] + [(0, texts[40]), (0, texts[40]), (None, texts[41]), (None, None)]
+    want_of = Counter((i, *w) for (i, _), w in zip(rows, _removed([(t or "").encode() for _, t in rows], 200)))
+    assert Counter(map(tuple, suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())) == want_of
+    clash = docs.withColumns({"_id": F.lit(1), "_H": F.lit(2), "_found": F.lit(3), "found": F.lit(4), "data": F.lit(5)})
+    assert suffix_dedup.clean(clash).columns == clash.columns
+    clean = suffix_dedup.clean(clash).select("doc_id", "text").collect()
     assert len(clean) == len(texts)
     assert all(len((r.text or "").encode()) <= want[r.doc_id][0] - want[r.doc_id][1] for r in clean)
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
@@ -219,29 +226,77 @@ def test_loser_tree_and_front_coding():
     assert out == sorted(s for r in runs for s in r)
 
 
+def _xx(data, seed=42):
+    from xxhash import xxh64_intdigest
+
+    return simhash._signed(xxh64_intdigest(data, seed % 2**64))
+
+
+def _marked(texts):
+    """Fingerprints from the definition: `texts` are (kept in the band, all) of terms."""
+    long = lambda x: (x % 2**64).to_bytes(8, "little")
+    out = []
+    for kept, every in texts:
+        terms = kept or every
+        parts = []
+        for i in range(imatch.LEXICONS):
+            # a term's place in lexicon i: it is in level j if the place is below 2**(63 - j)
+            place = {t: (_xx(i.to_bytes(4, "little"), _xx(long(t))) % 2**64) >> 1 for t in terms}
+            if not terms:
+                parts.append("0" * 8)
+                continue
+            top = 1 << max(1, min(place.values()).bit_length())  # the sparsest level that holds any term
+            seed = 42
+            for k in sorted(p for p in place.values() if p < top):
+                seed = _xx(long(k), seed)
+            parts.append(f"{seed % 2**32:08x}")
+        out.append("".join(parts))
+    return out
+
+
 def test_imatch(spark):
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(rng.choices(words, k=rng.randint(1, 80))) for _ in range(150)] + ["", None, "É 😀 x"]
+    words = [f"W{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(400)], k=rng.randint(1, 80))) for _ in range(150)] + ["", None, "É 😀 x", "lone only", "word " * 100_000]
     texts[20] = texts[3]
-    ids = rng.sample(range(10_000), len(texts))
-    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").withColumn("bucket", F.lit(1))
-    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
-    other = {r.doc_id: r for r in imatch.fingerprints(docs, most_sent=0).collect()}
-    assert got == other
-    order = sorted(zip(ids, texts))
-    for i, (doc, text) in enumerate(order):
-        own, after = text or "", order[(i + 1) % len(order)][1] or ""
+    ids = [*rng.sample(range(10_000), len(texts) - 1), None]
+    rows = list(zip(ids, texts, strict=True)) + [(ids[7], texts[7]), (ids[7], texts[9]), (ids[7], texts[9])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("bucket", "key", "h", "at", "guest")})
+    got = sorted(map(tuple, imatch.fingerprints(docs).collect()), key=str)
+    assert got == sorted(map(tuple, imatch.fingerprints(docs, most_sent=0).collect()), key=str)
+    order = sorted(((-(2**63) if i is None else i, _xx((t or "").encode()), t or "") for i, t in rows), key=lambda x: x[:2])
+    edited = []
+    for i, (_, _, own) in enumerate(order):
         n = len(own) // 4
-        edited = own[: len(own) - n] + after[:n]
-        assert (got[doc].n_chars, got[doc].edited_sha256) == (len(own), sha256(edited.encode()).hexdigest())
-        same = np.mean([got[doc].fingerprint[8 * k : 8 * k + 8] == got[order[(i + 1) % len(order)][0]].fingerprint[8 * k : 8 * k + 8] for k in range(16)])
-        assert got[doc].near_next == same
-    assert got[ids[3]].fingerprint == got[ids[20]].fingerprint
-    assert np.mean([r.near_edited for r in got.values()]) > 0.3 > np.mean([r.near_next for r in got.values()])
-    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id bigint, text string")
-    assert imatch.fingerprints(twice).count() == 3
-    assert imatch.fingerprints(twice.limit(0)).count() == 0
+        edited.append(own[: len(own) - n] + order[(i + 1) % len(order)][2][:n])
+    split = lambda t: {x for x in t.encode().lower().decode().replace("\t", " ").split(" ") if x}
+    sets = {frozenset(split(t)) for _, t in [(0, x[2]) for x in order]}
+    df = Counter(w for s in sets for w in s)
+    low, high = max(2.0, len(sets) * 0.0005), max(10.0, len(sets) * 0.01)
+    banded = {w for w, n in df.items() if low <= n <= high}
+    assert 0 < len(banded) < len(df)
+    marks = lambda ts: _marked([([_xx(w.encode()) for w in split(t) & banded], [_xx(w.encode()) for w in split(t)]) for t in ts])
+    own, new = marks([x[2] for x in order]), marks(edited)
+    likeness = lambda a, b: sum(a[8 * k : 8 * k + 8] == b[8 * k : 8 * k + 8] for k in range(16)) / 16
+    want = [(None if key == -(2**63) else key, len(t), sha256(edited[i].encode()).hexdigest(), own[i], new[i], likeness(own[i], new[i]), likeness(own[i], own[(i + 1) % len(order)])) for i, (key, _, t) in enumerate(order)]
+    assert got == sorted(want, key=str)
+    assert np.mean([r[5] for r in got]) > 0.3 > np.mean([r[6] for r in got])
+    assert imatch.fingerprints(docs.limit(0)).count() == 0
+    one = imatch.fingerprints(docs.limit(1)).first()
+    assert one.near_next == 1.0
+
+
+def test_buckets_of_hot_ids(spark):
+    rng = random.Random(5)
+    keys = [*[7] * 400, *[9] * 100, *rng.sample(range(1000), 300), *[imatch._LEAST] * 200]
+    rows = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "key bigint, text string")
+    placed = imatch._in_order(rows, 20)[0].where("guest = 0").collect()
+    order = sorted((r.key, r.h, r.bucket) for r in placed)
+    assert [x[2] for x in order] == sorted(x[2] for x in order) and len(order) == len(keys)
+    sizes = Counter(x[2] for x in order)
+    assert max(sizes.values()) < 130
+    lent = Counter(r.bucket for r in imatch._in_order(rows, 20)[0].where("guest = 1").collect())
+    assert set(lent) == set(sizes) and set(lent.values()) == {1}
 
 
 def test_imatch_of_many_copies(spark):

@@ -215,32 +215,71 @@ def test_lattice_sums_all_segmentations():
         assert counts[i] == pytest.approx(3 * sum(v for k, v in ways.items() if name in k) / whole)
 
 
+def _spellings(word, p):
+    """Edges (start, end, pieces) of a word's lattice, from the definition."""
+    text, names = "▁" + word, set(p)
+    return text, [(i, j, [text[i:j]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in names] + [(i, i + 1, [f"<0x{b:02X}>" for b in c.encode()]) for i, c in enumerate(text) if c not in names]
+
+
+def _forward_backward(word, p):
+    """Probability of a word and expected counts of its pieces, without logarithms."""
+    text, edges = _spellings(word, p)
+    weight = {(i, j, tuple(x)): math.prod(p[k] for k in x) for i, j, x in edges}
+    alpha, beta = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+    for j in range(1, len(text) + 1):
+        alpha[j] = sum(alpha[i] * weight[i, k, tuple(x)] for i, k, x in edges if k == j)
+    for i in range(len(text) - 1, -1, -1):
+        beta[i] = sum(beta[k] * weight[h, k, tuple(x)] for h, k, x in edges if h == i)
+    counts = Counter()
+    for i, j, x in edges:
+        for k in x:
+            counts[k] += alpha[i] * weight[i, j, tuple(x)] * beta[j] / alpha[-1]
+    return alpha[-1], counts
+
+
 def test_scores(spark):
     rng = random.Random(6)
-    texts = [None, "", "A b\tC", "日本 é", *(" ".join(rng.choices(["the", "of", "walk", "walking", "walked", "talks", "x9"], k=rng.randint(1, 40))) for _ in range(60))]
-    rows = list(enumerate(texts)) + [(5, texts[5])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("word", F.lit(1))
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [None, "", "A b\tC", "日本 é Öl Été Öl", "x" * 150, "x" * 150, "heldword " * 3, *(" ".join(rng.choices(["the", "of", "walk", "walking", "walked", "talks", "x9"], k=rng.randint(1, 40))) for _ in range(60))]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    ids = [i for i in range(500) if not held(i)]
+    ids = ids[:6] + [i for i in range(500) if held(i)][:1] + list(range(600, 660))  # "heldword" is hot where nothing trains
+    rows = list(zip(ids, texts, strict=True)) + [(ids[5], texts[5]), (ids[20], texts[20]), (None, texts[30])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"word": F.lit(1), "c": F.lit(1), "row": F.lit(1)})
     low = lambda t: WORD.findall((t or "").encode().lower().decode())
-    counts, documents = Counter(), 0
+    counts, every, documents = Counter(), Counter(), 0
     for i, t in rows:
+        every.update(low(t))
         if not held(i):
             counts.update(low(t))
             documents += 1
     n, v = sum(counts.values()) + documents, len(counts) + 1
+    # the weights, by expectation-maximisation from the definition: three rounds over frequent words, one over all
+    names, start = lattice.vocabulary(default_path("piece_bpe_32k.model"))
+    p = {k: w / (sum(start) + 1) for k, w in zip(names, start, strict=True)}
+    end = 1 / (sum(start) + 1)
+    total = sum(every.values())
+    frequent = {w: c for w, c in counts.items() if every[w] > 1 and every[w] * lattice.FREQUENT >= total * math.ceil(len(w) / 64)}
+    for words in (frequent, frequent, frequent, counts):
+        expected = Counter()
+        for w, c in words.items():
+            for k, x in _forward_backward(w, p)[1].items():
+                expected[k] += c * x
+        whole = sum(expected.values()) + 0.1 * len(names) + documents
+        p, end = {k: (expected[k] + 0.1) / whole for k in names}, documents / whole
     got = lattice.score(docs).collect()
     assert len(got) == len(rows)
-    for r in got:
-        words = low(texts[r.doc_id])
+    by = {}
+    for i, t in rows:
+        words = low(t)
         cs = [counts[w] for w in words] + [documents]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(cs), sum(c > 0 for c in cs), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c + 1) / (n + v + 1)) for c in cs))
-        assert r.score < 0 and math.isfinite(r.score)
-    # learning helps on what was held out
-    cold = {r.doc_id: r.score for r in lattice.score(docs.where("doc_id < 0").unionByName(docs), warm=0).collect()}
-    warm = {r.doc_id: r.score for r in got}
-    assert sum(warm[i] for i in warm if held(i)) >= sum(cold[i] for i in cold if held(i)) - 1e-6 or len(cold) < 10
+        model = sum(math.log10(_forward_backward(w, p)[0]) for w in words) + math.log10(end)
+        by.setdefault(i, []).append((held(i), len(cs), sum(c > 0 for c in cs), n, sum(math.log10((c + 1) / (n + v + 1)) for c in cs), model))
+    for r in got:
+        assert any(tuple(r)[1:5] == x[:4] and tuple(r)[5:] == pytest.approx(x[4:], abs=1e-6) for x in by[r.doc_id])
+    assert "▁É" in names and "▁the" in names and "▁The" not in names
     assert lattice.score(docs.limit(0)).count() == 0
+    cold = lattice.score(docs.where("doc_id = " + str(ids[6]))).collect()  # nothing trains
+    assert (cold[0].train_tokens, cold[0].n_known, cold[0].n_tokens) == (0, 0, 4) and math.isfinite(cold[0].score)
 
 
 def _rule(url, rules=urls.RULES):
