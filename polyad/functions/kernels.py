@@ -23,14 +23,23 @@ def khatri_rao_but(factors: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def mttkrp(x: np.ndarray, factors: list[np.ndarray], n: int, method: str = "auto") -> np.ndarray:
-    """Tensor times all factors but n. Two-step methods contract one factor first and need three modes."""
-    if x.ndim != 3 or method == "mttkrp" or method == "auto" and n == 1:
+    """Tensor times all factors but n. `mttkrp` writes the Khatri-Rao product out; the two-step methods contract one
+    factor of a tensor of three modes first; `auto` contracts the longest of the other modes first, then one after another."""
+    if method == "mttkrp":
         return unfold(x, n) @ khatri_rao_but(factors, n)
-    first, second = contraction(n, 0 if method == "twostep0" else 1)
-    letters = "abc"
-    kept = "".join(letters[m] for m in range(3) if m != first)
-    part = np.tensordot(x, factors[first], (first, 0))  # axes: kept modes, component
-    return np.einsum(f"{kept}r,{letters[second]}r->{letters[n]}r", part, factors[second], optimize=True)
+    if x.ndim == 3 and method != "auto":
+        first, second = contraction(n, 0 if method == "twostep0" else 1)
+        order = [first, second]
+    else:
+        order = sorted((m for m in range(x.ndim) if m != n), key=lambda m: -x.shape[m])
+    kept = [m for m in range(x.ndim) if m != order[0]]
+    part = np.tensordot(x, factors[order[0]], (order[0], 0))  # axes: kept modes, component
+    for m in order[1:]:
+        at = kept.index(m)
+        part = np.einsum("aibr,ir->abr", part.reshape(int(np.prod(part.shape[:at], dtype=int)), part.shape[at], -1, part.shape[-1]), factors[m])
+        kept.pop(at)
+        part = part.reshape(*[x.shape[k] for k in kept], part.shape[-1])
+    return part
 
 
 def contraction(n: int, which: int) -> tuple[int, int]:
@@ -60,59 +69,50 @@ def solve_spd(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, bool]:
         return g @ np.linalg.pinv(h, hermitian=True), False
 
 
-def nnls_row(y: np.ndarray, h: np.ndarray, active: np.ndarray, tol: float) -> np.ndarray:
-    """Least squares with d >= 0 on normal equations h d = y by active sets; `active` (True: held at 0) is the warm start and is updated."""
-    n = len(y)
-
-    def solve() -> np.ndarray | None:
-        s = np.zeros(n)
-        free = np.flatnonzero(~active)
-        if len(free):
-            try:
-                low = np.linalg.cholesky(h[np.ix_(free, free)])
-            except np.linalg.LinAlgError:
-                return None
-            s[free] = np.linalg.solve(low.T, np.linalg.solve(low, y[free]))
-        return s
-
-    active[y > 0] = False
-    d = np.zeros(n)
-    while not active.all():
-        s = solve()
-        if s is None:
-            active[:] = True
-            break
-        low = ~active & (s <= tol)
-        if not low.any():
-            d = s
-            break
-        active |= low
-    if active.all():
-        d = np.zeros(n)
-    w = y - h @ d
-    for _ in range(30 * n):
-        held = np.flatnonzero(active)
-        if not len(held) or w[held].max() <= tol:
+def nnls(g: np.ndarray, h: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Least squares with d >= 0 on normal equations d h = g, all rows together, by block principal pivoting.
+
+    `active` (True: held at 0) is the warm start and is updated. In each round every row with an infeasible entry,
+    one that is free and negative or held with a gradient upwards, exchanges all of them; a row whose number of
+    infeasible entries has not fallen for three rounds exchanges only the last, which ends for any positive definite h.
+    Rows with one pattern share one solve. Also returned: whether h was positive definite; if not, it is
+    regularised by a share of its trace.
+    """
+    n, r = g.shape
+    try:
+        np.linalg.cholesky(h)
+        regular = True
+    except np.linalg.LinAlgError:
+        regular, h = False, h + np.eye(r) * (np.trace(h) * 1e-12 + np.finfo(float).tiny)
+    tol = 10 * np.finfo(float).eps * r * np.maximum(np.abs(g).max(axis=1, initial=0), np.abs(h).sum(axis=0).max())
+    free = ~active | (g > 0)
+    d, best, chances = np.zeros((n, r)), np.full(n, r + 1), np.full(n, 3)
+    open_rows = np.arange(n)
+    while len(open_rows):
+        pattern, which = np.unique(free[open_rows], axis=0, return_inverse=True)
+        which = which.ravel()
+        for i, mask in enumerate(pattern):
+            rows = open_rows[which == i]
+            d[rows] = 0.0
+            if mask.any():
+                d[np.ix_(rows, mask)] = np.linalg.solve(h[np.ix_(mask, mask)], g[np.ix_(rows, mask)].T).T
+        up = g[open_rows] - d[open_rows] @ h
+        edge = tol[open_rows, None]
+        bad = np.where(free[open_rows], d[open_rows] * np.diag(h) < -edge, up > edge)
+        count = bad.sum(axis=1)
+        open_rows, bad, count = open_rows[count > 0], bad[count > 0], count[count > 0]
+        if not len(open_rows):
             break
-        active[held[np.argmax(w[held])]] = False
-        s = solve()
-        while s is not None and (~active).any() and s[~active].min() <= tol:
-            low = np.flatnonzero(~active & (s <= tol))
-            alpha = np.min(d[low] / np.where(d[low] - s[low] == 0, 1.0, d[low] - s[low]))
-            d = d + alpha * (s - d)
-            active |= ~active & (np.abs(d) < tol)
-            s = solve()
-        if s is None:
-            active[:] = True
-            return np.zeros(n)
-        d = np.where(active, 0.0, s)
-        w = y - h @ d
-    return np.maximum(d, 0.0)
-
-
-def nnls(g: np.ndarray, h: np.ndarray, active: np.ndarray) -> np.ndarray:
-    tol = 10 * np.finfo(float).eps * np.abs(h).sum(axis=0).max() * len(h)
-    return np.stack([nnls_row(g[i], h, active[i], tol) for i in range(len(g))])
+        fell = count < best[open_rows]
+        best[open_rows] = np.where(fell, count, best[open_rows])
+        chances[open_rows] = np.where(fell, 3, chances[open_rows] - 1)
+        single = chances[open_rows] < 0
+        last = r - 1 - np.argmax(bad[:, ::-1], axis=1)
+        only = np.zeros_like(bad)
+        only[np.arange(len(last)), last] = True
+        free[open_rows] ^= np.where(single[:, None], only, bad)
+    active[:] = ~free
+    return np.maximum(d, 0.0), regular
 
 
 def normalize_mode(f: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,13 +9,20 @@ from pyspark.sql.functions import udtf
 
 @udtf(returnType="mode int, row int, comp int, val double, weight double, error double")
 class CpAls:
-    """Collects the cells of one call, fits one model from the closed-form start and returns its factors."""
+    """Collects the cells of one call, fits one model from the closed-form start and returns its factors.
+
+    The tensor has to fit one task: over `MOST` cells it is an error, and `cp_concurrent` is the way.
+    """
+
+    MOST = 4_000_000
 
     def __init__(self):
         self.cells: list[tuple[tuple[int, ...], float]] = []
         self.rank, self.sweeps = 1, 50
 
     def eval(self, row, rank: int, sweeps: int):
+        if len(self.cells) >= self.MOST:
+            raise ValueError(f"a tensor of over {self.MOST} cells; fit it with cp_concurrent")
         values = row.asDict()
         index = tuple(values[k] for k in sorted((k for k in values if k[0] == "i" and k[1:].isdigit()), key=lambda k: int(k[1:])))
         self.cells.append((index, values["val"]))

@@ -58,7 +58,11 @@ def unfold(df: DataFrame, modes: tuple[int, ...], n: int) -> DataFrame:
     """Mode-n matricisation `(row, col, val)`."""
     names = index_columns(df)
     rest = [i for i in range(len(modes)) if i != n]
-    return df.select(F.col(names[n]).alias("row"), linear([names[i] for i in rest], [modes[i] for i in rest]).cast("int").alias("col"), "val")
+    columns = 1
+    for i in rest:
+        columns *= modes[i]
+    col = linear([names[i] for i in rest], [modes[i] for i in rest])
+    return df.select(F.col(names[n]).alias("row"), (col.cast("int") if columns < 2**31 else col).alias("col"), "val")
 
 
 def subtract(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -169,9 +173,16 @@ def khatri_rao_but(factors: DataFrame, modes: tuple[int, ...], n: int) -> DataFr
 
 
 def mttkrp_explicit(x: DataFrame, factors: DataFrame, modes: tuple[int, ...], n: int) -> DataFrame:
-    """`(model_id, row, comp, val)` through the written-out Khatri-Rao product: one join, one sum."""
-    k = khatri_rao_but(factors, modes, n).select("model_id", F.col("row").alias("col"), "comp", F.col("val").alias("_k"))
-    return unfold(x, modes, n).join(k, "col").groupBy("model_id", "row", "comp").agg(F.sum(F.col("val") * F.col("_k")).alias("val"))
+    """`(model_id, row, comp, val)`: the tensor joined with one factor after another, then one sum.
+
+    The Khatri-Rao product of the other factors is never written out: its rows arise cell by cell in the joins.
+    """
+    out = None
+    for m in (m for m in range(len(modes)) if m != n):
+        own = mode_of(factors, m).select("model_id", F.col("row").alias(f"i{m}"), "comp", F.col("val").alias("_u"))
+        out = x.join(own, f"i{m}") if out is None else out.join(own, ["model_id", f"i{m}", "comp"])
+        out = out.withColumn("val", F.col("val") * F.col("_u")).drop("_u", f"i{m}")
+    return out.groupBy("model_id", F.col(f"i{n}").alias("row"), "comp").agg(F.sum("val").alias("val"))
 
 
 def mttkrp_two_step(x: DataFrame, factors: DataFrame, n: int, which: int) -> DataFrame:
@@ -188,7 +199,7 @@ def mttkrp(x: DataFrame, factors: DataFrame, modes: tuple[int, ...], n: int, met
     from polyad.plans.planner import choose
 
     method = choose(modes, n, method)
-    if method == "mttkrp":
+    if method in ("mttkrp", "auto"):
         return mttkrp_explicit(x, factors, modes, n)
     return mttkrp_two_step(x, factors, n, 0 if method == "twostep0" else 1)
 
@@ -215,10 +226,10 @@ def fast_error(x: DataFrame, factors: DataFrame, weights: DataFrame, g_last: Dat
 
 
 def explicit_error(x: DataFrame, factors: DataFrame, weights: DataFrame, n_modes: int) -> DataFrame:
-    """`(model_id, error)`: the norm of the residual."""
+    """`(model_id, error)`: the norm of the residual. The model has every cell; those that the tensor lacks are zeros."""
     names = index_columns(x)
-    full = reconstruct(factors, weights, n_modes).join(x.withColumnRenamed("val", "_x"), names)
-    return full.groupBy("model_id").agg(F.sqrt(F.sum((F.col("_x") - F.col("val")) ** 2)).alias("error"))
+    full = reconstruct(factors, weights, n_modes).join(x.withColumnRenamed("val", "_x"), names, "left")
+    return full.groupBy("model_id").agg(F.sqrt(F.sum((F.coalesce("_x", F.lit(0.0)) - F.col("val")) ** 2)).alias("error"))
 
 
 def fit(errors: DataFrame, x: DataFrame) -> DataFrame:
@@ -237,6 +248,19 @@ def extrapolate(now: DataFrame, before: DataFrame, step: float) -> DataFrame:
     return now.join(before.withColumnRenamed("val", "_p"), keys).select(*keys, (F.col("val") + step * (F.col("val") - F.col("_p"))).alias("val"))
 
 
+def set_factor(factors: DataFrame, mode: int, other: DataFrame) -> DataFrame:
+    """`factors` with one mode taken from `other(model_id, row, comp, val)` for the models that `other` has."""
+    own = (F.col("mode") == mode)
+    ids = other.select("model_id").distinct()
+    kept = factors.where(~own).unionByName(factors.where(own).join(ids, "model_id", "left_anti").select(*factors.columns))
+    return kept.unionByName(other.select("model_id", F.lit(mode).alias("mode"), "row", "comp", "val"))
+
+
+def set_weights(weights: DataFrame, other: DataFrame) -> DataFrame:
+    """`weights` with those of the models that `other` has taken from there."""
+    return weights.join(other.select("model_id").distinct(), "model_id", "left_anti").select("model_id", "comp", "val").unionByName(other.select("model_id", "comp", "val"))
+
+
 # --- jackknife and sets of models ----------------------------------------------------------------------------
 
 

@@ -93,99 +93,195 @@ ERR = "SELECT model_id, sqrt(sum((t.val - e.val) ** 2)) AS error FROM rec e JOIN
 CELL4 = "model_id, mode, row, comp, "
 
 
-def als_ctes(rank: int, sweeps: int, tensor: str = "tensor", dims: tuple[str, ...] = ("nk", "pt", "mo"), nonneg: bool = False, model: int = 0, jk: bool = False) -> list[tuple[str, str]]:
-    """Sweeps written out. Factor n after sweep t is `u{n}_{t}(row, x0[, x1])`, with `l{n}_{t}` its weights.
+SALES, SALES4, EVENTS, EMBED = ("tensor", ("nk", "pt", "mo")), ("tensor4", ("rg", "pt", "fl", "yr")), ("tensor_ev", ("us", "ev", "hr")), ("tensor_em", ("lb", "e8", "e8"))
+
+
+class Sweeps:
+    """Sweeps written out as common table expressions. Factor n after a sweep is a relation (row, x0, x1, ...).
 
-    With `jk` every relation has a column `j`, the slice of mode 0 that is left out.
+    With `jk` every relation has a column `j`, the slice of mode 0 that is left out. `model` shifts the closed-form
+    start and may be an expression; `starts` gives other starts, as SELECT lists of (row, x0, ...), instead.
     """
-    n_modes, comps = len(dims), range(rank)
-    j, on = ("j, ", " AND {a}.j = {b}.j") if jk else ("", "")
-    pairs = [(a, b) for a in comps for b in comps if a <= b]
-    out: list[tuple[str, str]] = []
-    if jk:
-        out.append(("slices", f"SELECT i AS j FROM {dims[0]}"))
-    source = ", slices" if jk else ""
-    for n, d in enumerate(dims):
-        vals = ", ".join(f"0.5 + 0.5 * sin(CAST((i + 1 + {model}) * {c + 1} * {n + 1} AS DOUBLE)) AS x{c}" for c in comps)
-        out.append((f"z{n}", f"SELECT {j}i AS row, {vals} FROM {d}{source}"))
-        part = "PARTITION BY j" if jk else ""
-        out.append((f"u{n}_0", f"SELECT {j}row, {', '.join(f'x{c} / sqrt(sum(x{c} * x{c}) OVER ({part})) AS x{c}' for c in comps)} FROM z{n}"))
-        out.append((f"s{n}_0", f"SELECT {j}{', '.join(f'sum(x{a} * x{b}) AS h{a}{b}' for a, b in pairs)} FROM u{n}_0" + (" GROUP BY j" if jk else "")))
-    x_norm = f"(SELECT sum(val * val) FROM {tensor})"
-    for t in range(1, sweeps + 1):
+
+    def __init__(self, rank: int, tensor: str, dims: tuple[str, ...], nonneg: bool = False, model: int | str = 0, jk: bool = False, starts: list[str] | None = None, prefix: str = ""):
+        self.rank, self.tensor, self.dims, self.nonneg, self.jk, self.prefix = rank, tensor, dims, nonneg, jk, prefix
+        self.comps = range(rank)
+        self.pairs = [(a, b) for a in self.comps for b in self.comps if a <= b]
+        self.out: list[tuple[str, str]] = []
+        self.j, self.by, self.part = ("j, ", " GROUP BY j", "PARTITION BY j") if jk else ("", "", "")
+        if jk:
+            self.add("slices", f"SELECT i AS j FROM {dims[0]}")
+        source = f", {prefix}slices" if jk else ""
+        self.u, self.s = [], []
+        for n, d in enumerate(dims):
+            vals = ", ".join(f"0.5 + 0.5 * sin(CAST((i + 1 + {model}) * {c + 1} * {n + 1} AS DOUBLE)) AS x{c}" for c in self.comps)
+            z = self.add(f"z{n}", f"SELECT {self.j}i AS row, {vals} FROM {d}{source}" if starts is None else f"SELECT {self.j}k.* FROM ({starts[n]}) k{source}")
+            self.u.append(self.unit(f"u{n}_0", z))
+            self.s.append(self.gram(f"s{n}_0", self.u[n]))
+        self.lam = self.error = ""
+
+    def add(self, name: str, text: str) -> str:
+        self.out.append((self.prefix + name, text))
+        return self.prefix + name
+
+    def unit(self, name: str, of: str) -> str:
+        return self.add(name, f"SELECT {self.j}row, {', '.join(f'x{c} / sqrt(sum(x{c} * x{c}) OVER ({self.part})) AS x{c}' for c in self.comps)} FROM {of}")
+
+    def gram(self, name: str, of: str) -> str:
+        return self.add(name, f"SELECT {self.j}{', '.join(f'sum(x{a} * x{b}) AS h{a}{b}' for a, b in self.pairs)} FROM {of}{self.by}")
+
+    def _solved(self, tag: str, head: str, sources: str, h: dict) -> str:
+        """Relation of the new factor before scaling, from the products g and the Hadamard product h."""
+        if self.rank == 1:
+            value = f"g0 / ({h[0, 0]})"
+            return f"SELECT {head}, {f'greatest({value}, 0.0)' if self.nonneg else value} AS x0 FROM {sources}"
+        q = self.add(f"q{tag}", f"SELECT {head}, {', '.join(f'g{c}' for c in self.comps)}, {', '.join(f'{h[x]} AS {n}' for x, n in zip(self.pairs, 'abcdef', strict=False))} FROM {sources}")
+        if self.rank == 3:  # h = [[a, b, c], [b, d, e], [c, e, f]]; by cofactors
+            m = {(0, 0): "(d * f - e * e)", (0, 1): "(c * e - b * f)", (0, 2): "(b * e - c * d)", (1, 1): "(a * f - c * c)", (1, 2): "(b * c - a * e)", (2, 2): "(a * d - b * b)"}
+            det = f"(a * {m[0, 0]} + b * {m[0, 1]} + c * {m[0, 2]})"
+            row = lambda i: " + ".join(f"g{k} * {m[min(i, k), max(i, k)]}" for k in range(3))
+            return f"SELECT {self.j}row, {', '.join(f'({row(i)}) / {det} AS x{i}' for i in range(3))} FROM {q}"
+        free = ["(g0 * c - g1 * b) / (a * c - b * b)", "(g1 * a - g0 * b) / (a * c - b * b)"]
+        if self.nonneg:
+            both, one = f"{free[0]} >= 0 AND {free[1]} >= 0", "greatest(g0, 0.0) * greatest(g0, 0.0) / a >= greatest(g1, 0.0) * greatest(g1, 0.0) / c"
+            free = [f"CASE WHEN {both} THEN {free[0]} WHEN {one} THEN greatest(g0, 0.0) / a ELSE 0.0 END", f"CASE WHEN {both} THEN {free[1]} WHEN {one} THEN 0.0 ELSE greatest(g1, 0.0) / c END"]
+        return f"SELECT {self.j}row, {free[0]} AS x0, {free[1]} AS x1 FROM {q}"
+
+    def sweep(self, tag: str, first: bool = False) -> None:
+        jk, comps, n_modes = self.jk, self.comps, len(self.dims)
         for n in range(n_modes):
-            now = [t if m < n else t - 1 for m in range(n_modes)]
             rest = [m for m in range(n_modes) if m != n]
-            first = f"u{rest[0]}_{now[rest[0]]}"
-            joins = " ".join(f"JOIN u{m}_{now[m]} ON u{m}_{now[m]}.row = i{m}" + (on.format(a=f"u{m}_{now[m]}", b=first) if jk and m != rest[0] else "") for m in rest)
-            sums = ", ".join(f"sum(val * {' * '.join(f'u{m}_{now[m]}.x{c}' for m in rest)}) AS g{c}" for c in comps)
-            out.append((f"g{n}_{t}", f"SELECT {f'{first}.j AS j, ' if jk else ''}i{n} AS row, {sums} FROM {tensor} {joins} GROUP BY ALL"))
-            h = {(a, b): " * ".join(f"s{m}_{now[m]}.h{a}{b}" for m in rest) for a, b in pairs}
-            grams = [f"s{m}_{now[m]}" for m in rest]
-            sources = f"g{n}_{t} " + " ".join(f"JOIN {s} ON {s}.j = g{n}_{t}.j" if jk else f"CROSS JOIN {s}" for s in grams)
-            head = (f"g{n}_{t}.j AS j, " if jk else "") + f"g{n}_{t}.row AS row"
-            if rank == 1:
-                value = f"g0 / ({h[0, 0]})"
-                out.append((f"y{n}_{t}", f"SELECT {head}, {f'greatest({value}, 0.0)' if nonneg else value} AS x0 FROM {sources}"))
-            else:
-                out.append((f"q{n}_{t}", f"SELECT {head}, g0, g1, {h[0, 0]} AS a, {h[0, 1]} AS b, {h[1, 1]} AS d FROM {sources}"))
-                free = [f"(g0 * d - g1 * b) / (a * d - b * b)", f"(g1 * a - g0 * b) / (a * d - b * b)"]  # noqa: F541
-                if nonneg:
-                    both = f"{free[0]} >= 0 AND {free[1]} >= 0"
-                    p, q = "greatest(g0, 0.0)", "greatest(g1, 0.0)"
-                    one = f"{p} * {p} / a >= {q} * {q} / d"
-                    free = [f"CASE WHEN {both} THEN {free[0]} WHEN {one} THEN {p} / a ELSE 0.0 END", f"CASE WHEN {both} THEN {free[1]} WHEN {one} THEN 0.0 ELSE {q} / d END"]
-                out.append((f"y{n}_{t}", f"SELECT {j}row, {free[0]} AS x0, {free[1]} AS x1 FROM q{n}_{t}"))
+            lead = self.u[rest[0]]
+            joins = " ".join(f"JOIN {self.u[m]} ON {self.u[m]}.row = i{m}" + (f" AND {self.u[m]}.j = {lead}.j" if jk and m != rest[0] else "") for m in rest)
+            sums = ", ".join(f"sum(val * {' * '.join(f'{self.u[m]}.x{c}' for m in rest)}) AS g{c}" for c in comps)
+            g = self.add(f"g{n}_{tag}", f"SELECT {f'{lead}.j AS j, ' if jk else ''}i{n} AS row, {sums} FROM {self.tensor} {joins} GROUP BY ALL")
+            h = {(a, b): " * ".join(f"{self.s[m]}.h{a}{b}" for m in rest) for a, b in self.pairs}
+            sources = f"{g} " + " ".join(f"JOIN {self.s[m]} ON {self.s[m]}.j = {g}.j" if jk else f"CROSS JOIN {self.s[m]}" for m in rest)
+            y = self._solved(f"{n}_{tag}", (f"{g}.j AS j, " if jk else "") + f"{g}.row AS row", sources, h)
             if jk and n == 0:
-                name = f"y{n}_{t}"
-                out[-1] = (name + "a", out[-1][1])
-                out.append((name, f"SELECT j, row, {', '.join(f'CASE WHEN row = j THEN 0.0 ELSE x{c} END AS x{c}' for c in comps)} FROM {name}a"))
-            if t == 1:
-                lam = ", ".join(f"sqrt(sum(x{c} * x{c})) AS l{c}" for c in comps)
-            else:
-                lam = ", ".join(f"arg_max(x{c}, (abs(x{c}), -row)) AS l{c}" for c in comps)
-            out.append((f"l{n}_{t}", f"SELECT {j}{lam} FROM y{n}_{t}" + (" GROUP BY j" if jk else "")))
+                y = self.add(f"y{n}_{tag}a", y)
+                y = f"SELECT j, row, {', '.join(f'CASE WHEN row = j THEN 0.0 ELSE x{c} END AS x{c}' for c in comps)} FROM {y}"
+            y = self.add(f"y{n}_{tag}", y)
+            size = "sqrt(sum(x{c} * x{c})) AS l{c}" if first else "arg_max(x{c}, (abs(x{c}), -row)) AS l{c}"
+            self.lam = self.add(f"l{n}_{tag}", f"SELECT {self.j}{', '.join(size.format(c=c) for c in comps)} FROM {y}{self.by}")
             scaled = ", ".join(f"CASE WHEN l{c} = 0 THEN x{c} ELSE x{c} / l{c} END AS x{c}" for c in comps)
-            link = f"JOIN l{n}_{t} USING (j)" if jk else f"CROSS JOIN l{n}_{t}"
-            out.append((f"u{n}_{t}", f"SELECT {j}row, {scaled} FROM y{n}_{t} {link}"))
-            out.append((f"s{n}_{t}", f"SELECT {j}{', '.join(f'sum(x{a} * x{b}) AS h{a}{b}' for a, b in pairs)} FROM u{n}_{t}" + (" GROUP BY j" if jk else "")))
-        last = n_modes - 1
-        own = " + ".join(f"{'1' if a == b else '2'} * l{a} * l{b} * {' * '.join(f's{m}_{t}.h{a}{b}' for m in range(n_modes))}" for a, b in pairs)
+            self.u[n] = self.add(f"u{n}_{tag}", f"SELECT {self.j}row, {scaled} FROM {y} " + (f"JOIN {self.lam} USING (j)" if jk else f"CROSS JOIN {self.lam}"))
+            self.s[n] = self.gram(f"s{n}_{tag}", self.u[n])
+        own = " + ".join(f"{'1' if a == b else '2'} * l{a} * l{b} * {' * '.join(f'{x}.h{a}{b}' for x in self.s)}" for a, b in self.pairs)
         cross = " + ".join(f"l{c} * x{c} * g{c}" for c in comps)
+        x_norm = f"(SELECT sum(val * val) FROM {self.tensor})"
         if jk:
-            norm2 = f"({x_norm} - (SELECT sum(val * val) FROM {tensor} WHERE i0 = k.j))"
-            error = f"SELECT k.j AS j, {t} AS iter, sqrt(greatest({norm2} + k.own - 2 * c.crossed, 0)) AS error FROM (SELECT l{last}_{t}.j AS j, {own} AS own FROM l{last}_{t} {' '.join(f'JOIN s{m}_{t} ON s{m}_{t}.j = l{last}_{t}.j' for m in range(n_modes))}) k JOIN (SELECT u.j AS j, sum({cross}) AS crossed FROM u{last}_{t} u JOIN g{last}_{t} g ON g.j = u.j AND g.row = u.row JOIN l{last}_{t} l ON l.j = u.j GROUP BY u.j) c ON c.j = k.j"
+            norm2 = f"({x_norm} - (SELECT sum(val * val) FROM {self.tensor} WHERE i0 = k.j))"
+            error = f"SELECT k.j AS j, sqrt(greatest({norm2} + k.own - 2 * c.crossed, 0)) AS error FROM (SELECT {self.lam}.j AS j, {own} AS own FROM {self.lam} {' '.join(f'JOIN {x} ON {x}.j = {self.lam}.j' for x in self.s)}) k JOIN (SELECT u.j AS j, sum({cross}) AS crossed FROM {self.u[-1]} u JOIN {g} g ON g.j = u.j AND g.row = u.row JOIN {self.lam} l ON l.j = u.j GROUP BY u.j) c ON c.j = k.j"
         else:
-            error = f"SELECT {t} AS iter, sqrt(greatest({x_norm} + (SELECT {own} FROM l{last}_{t} {' '.join(f'CROSS JOIN s{m}_{t}' for m in range(n_modes))}) - 2 * (SELECT sum({cross}) FROM u{last}_{t} JOIN g{last}_{t} USING (row) CROSS JOIN l{last}_{t}), 0)) AS error"
-        out.append((f"e_{t}", error))
-    return out
+            error = f"SELECT sqrt(greatest({x_norm} + (SELECT {own} FROM {self.lam} {' '.join(f'CROSS JOIN {x}' for x in self.s)}) - 2 * (SELECT sum({cross}) FROM {self.u[-1]} JOIN {g} USING (row) CROSS JOIN {self.lam}), 0)) AS error"
+        self.error = self.add(f"e_{tag}", error)
+
+    def run(self, sweeps: int) -> Sweeps:
+        for t in range(1, sweeps + 1):
+            self.sweep(str(t), t == 1)
+        return self
+
+    def moved(self, tag: str, before: list[str], step: str, weights: tuple[str, str] | None) -> list[str]:
+        """Factors extrapolated from those before; with weights (now, before) both are denormalised first."""
+        out = []
+        for n in range(len(self.dims)):
+            now, then = ([f"x{c} * l{c}" if weights and n == 0 else f"x{c}" for c in self.comps] for _ in range(2))
+            a = f"(SELECT row, {', '.join(f'{v} AS x{c}' for c, v in enumerate(now))} FROM {self.u[n]}{f' CROSS JOIN {weights[0]}' if weights and n == 0 else ''})"
+            p = f"(SELECT row, {', '.join(f'{v} AS x{c}' for c, v in enumerate(then))} FROM {before[n]}{f' CROSS JOIN {weights[1]}' if weights and n == 0 else ''})"
+            out.append(self.add(f"mv{n}_{tag}", f"SELECT a.row, {', '.join(f'a.x{c} + {step} * (a.x{c} - p.x{c}) AS x{c}' for c in self.comps)} FROM {a} a JOIN {p} p ON a.row = p.row"))
+        return out
+
+    def search_checked(self, tag: str, before: list[str], step: str) -> None:
+        """Take the extrapolated factors if the explicit error with the present weights is less."""
+        moved = self.moved(tag, before, step, None)
+        joins = " ".join(f"JOIN {m} m{n} ON m{n}.row = i{n}" for n, m in enumerate(moved))
+        model = " + ".join(f"l{c} * {' * '.join(f'm{n}.x{c}' for n in range(len(moved)))}" for c in self.comps)
+        better = self.add(f"ok_{tag}", f"SELECT (SELECT sqrt(sum((val - ({model})) ** 2)) FROM {self.tensor} {joins} CROSS JOIN {self.lam}) < (SELECT error FROM {self.error}) AS ok")
+        for n, m in enumerate(moved):
+            scaled = f"(SELECT row, {', '.join(f'x{c} * l{c} AS x{c}' for c in self.comps)} FROM {m} CROSS JOIN {self.lam})" if n == 0 else m
+            unit = self.unit(f"mu{n}_{tag}", scaled)
+            self.u[n] = self.add(f"v{n}_{tag}", f"SELECT a.row, {', '.join(f'CASE WHEN ok THEN m.x{c} ELSE a.x{c} END AS x{c}' for c in self.comps)} FROM {self.u[n]} a JOIN {unit} m ON a.row = m.row CROSS JOIN {better}")
+            self.s[n] = self.gram(f"vs{n}_{tag}", self.u[n])
+
+
+def als_ctes(rank: int, sweeps: int, tensor: str = "tensor", dims: tuple[str, ...] = ("nk", "pt", "mo"), nonneg: bool = False) -> list[tuple[str, str]]:
+    return Sweeps(rank, tensor, dims, nonneg).run(sweeps).out
 
 
 def als_history(tensor: str, dims: tuple[str, ...], rank: int, sweeps: int, nonneg: bool = False) -> str:
-    rows = " UNION ALL ".join(f"SELECT iter, error FROM e_{t}" for t in range(1, sweeps + 1))
+    rows = " UNION ALL ".join(f"SELECT {t} AS iter, error FROM e_{t}" for t in range(1, sweeps + 1))
     body = f"SELECT CAST(iter AS INT) AS iter, {r('error', 4)} AS error, {r(f'1 - error / sqrt((SELECT sum(val * val) FROM {tensor}))', 4)} AS fit FROM ({rows})"
     return sql([tensor], body, als_ctes(rank, sweeps, tensor, dims, nonneg))
 
 
-SALES, SALES4, EVENTS, EMBED = ("tensor", ("nk", "pt", "mo")), ("tensor4", ("rg", "pt", "fl", "yr")), ("tensor_ev", ("us", "ev", "hr")), ("tensor_em", ("lb", "e8", "e8"))
+def _several(ranks: dict[int, int] | None = None, sweeps: int = 2, digits: int = 4) -> str:
+    """Errors of models {id: rank} after these sweeps."""
+    ranks = ranks or {0: 1, 1: 2, 2: 2}
+    extra, rows = [], []
+    for model, rank in ranks.items():
+        one = Sweeps(rank, *SALES, model=model, prefix=f"m{model}").run(sweeps)
+        extra += one.out
+        rows.append(f"SELECT {model} AS model_id, {rank} AS components, {sweeps} AS iters, error FROM {one.error}")
+    body = f"SELECT CAST(model_id AS INT) AS model_id, CAST(components AS INT) AS components, CAST(iters AS INT) AS iters, {r('error', digits)} AS error, {r('1 - error / sqrt((SELECT sum(val * val) FROM tensor))', digits)} AS fit FROM ({' UNION ALL '.join(rows)})"
+    return sql(["tensor"], body, extra)
 
 
-def _several() -> str:
-    """Errors after two sweeps of models (0, rank 1), (1, rank 2), (2, rank 2)."""
-    parts, rows = [], []
-    for model, rank in ((0, 1), (1, 2), (2, 2)):
-        for name, text in als_ctes(rank, 2, *SALES, model=model):
-            parts.append((name, text, model))
-    import re
-
-    names = {m: {n for n, _, k in parts if k == m} for m in range(3)}
-    extra = []
-    for name, text, m in parts:
-        extra.append((f"m{m}{name}", re.sub(r"\b([zuslgyqe]\d?_?\d?)\b", lambda x, m=m: f"m{m}{x[1]}" if x[1] in names[m] else x[1], text)))
-    for m, rank in ((0, 1), (1, 2), (2, 2)):
-        rows.append(f"SELECT {m} AS model_id, {rank} AS components, 2 AS iters, error FROM m{m}e_2")
-    body = f"SELECT CAST(model_id AS INT) AS model_id, CAST(components AS INT) AS components, CAST(iters AS INT) AS iters, {r('error', 4)} AS error, {r('1 - error / sqrt((SELECT sum(val * val) FROM tensor))', 4)} AS fit FROM ({' UNION ALL '.join(rows)})"
-    return sql(["tensor"], body, extra)
+def _hybrid(ranks: dict[int, int], sweeps: int) -> str:
+    return f"SELECT components, CAST(arg_min(model_id, (error, model_id)) AS INT) AS model_id, min(error) AS error FROM ({_several(ranks, sweeps)}) GROUP BY components"
+
+
+def _searched(checked: bool) -> str:
+    """Four sweeps with line search at every second one."""
+    if checked:
+        one = Sweeps(2, *SALES)
+        errors = []
+        for t in range(1, 5):
+            before = list(one.u)
+            one.sweep(str(t), t == 1)
+            errors.append(f"SELECT {t} AS iter, error FROM {one.error}")
+            if t % 2 == 0:
+                one.search_checked(str(t), before, f"cbrt({t}.0)")
+        return sql(["tensor"], f"SELECT CAST(iter AS INT) AS iter, {r('error', 4)} AS error FROM ({' UNION ALL '.join(errors)})", one.out)
+    # unchecked: extrapolated after sweep 2; if sweep 3 ends above sweep 2, back to the state after it, then two sweeps
+    one = Sweeps(2, *SALES)
+    one.sweep("1", True)
+    before, lam = list(one.u), one.lam
+    one.sweep("2")
+    error, state = one.error, (list(one.u), list(one.s))
+    moved = one.moved("2", before, "cbrt(2.0)", (one.lam, lam))
+    one.u = [one.unit(f"v{n}", m) for n, m in enumerate(moved)]
+    one.s = [one.gram(f"vs{n}", u) for n, u in enumerate(one.u)]
+    one.sweep("3")
+    third = one.error
+    one.sweep("4")
+    kept = one.error
+    one.u, one.s = state
+    one.sweep("3b")
+    one.sweep("4b")
+    back = f"(SELECT error FROM {error}) < (SELECT error FROM {third})"
+    return sql(["tensor"], f"SELECT CAST(4 AS INT) AS iters, {r(f'CASE WHEN {back} THEN (SELECT error FROM {one.error}) ELSE (SELECT error FROM {kept}) END', 4)} AS error, CAST(1 AS INT) AS extrapolated, CAST(CASE WHEN {back} THEN 1 ELSE 0 END AS INT) AS reverted", one.out)
+
+
+def _jackknife(what: str) -> str:
+    """Replicas of a reference of rank 1 after two sweeps each."""
+    ref = Sweeps(1, *EVENTS, prefix="r").run(2)
+    start = [f"SELECT row, x0 * l0 AS x0 FROM {ref.u[0]} CROSS JOIN {ref.lam}", *(f"SELECT row, x0 FROM {u}" for u in ref.u[1:])]
+    one = Sweeps(1, *EVENTS, jk=True, starts=start).run(2)
+    extra = [*ref.out, *one.out]
+    if what == "error":
+        return sql(["tensor_ev"], f"SELECT j AS jk_fiber, {r('error', 4)} AS error FROM {one.error}", extra)
+    # folded, scaled to unit columns, without the row that was left out; then the deviation over replicas
+    rows = [f"SELECT u.j, {n} AS mode, row, x0{' * l0' if n == 0 else ''} AS x FROM {u} u" + (f" JOIN {one.lam} l ON l.j = u.j" if n == 0 else "") for n, u in enumerate(one.u)]
+    extra.append(("scaled", f"SELECT j, mode, row, x / sqrt(sum(x * x) OVER (PARTITION BY j, mode)) AS x FROM ({' UNION ALL '.join(rows)})"))
+    return sql(["tensor_ev"], f"SELECT CAST(mode AS INT) AS mode, row, CAST(0 AS INT) AS comp, {r('stddev_samp(x)', 6)} AS std FROM scaled WHERE NOT (mode = 0 AND row = j) GROUP BY mode, row", extra)
+
+
+def _both() -> str:
+    """A reference model (id 0) and replicas (id 1 + slice) in one queue, each from its own closed form."""
+    ref = Sweeps(1, *EVENTS, prefix="r").run(2)
+    one = Sweeps(1, *EVENTS, jk=True, model="j + 1").run(2)
+    return sql(["tensor_ev"], f"SELECT CAST(0 AS INT) AS model_id, {r('error', 4)} AS error FROM {ref.error} UNION ALL SELECT CAST(j + 1 AS INT), {r('error', 4)} FROM {one.error}", [*ref.out, *one.out])
 
 
 def _cells() -> tuple[str, str]:
@@ -262,7 +358,13 @@ ORACLES = {
     "flops_model": sql(["nk", "pt"], f"SELECT CAST(m AS INT) AS mode, CAST(k AS INT) AS rank, method, CAST(CASE method WHEN 'mttkrp' THEN 2 * t * k + t // s[m + 1] * k ELSE 2 * t * k + 2 * s[m + 1] * s[CASE WHEN (method = 'twostep0') THEN [2, 1, 2][m + 1] ELSE [3, 3, 1][m + 1] END] * k END AS BIGINT) AS flops FROM (SELECT [{', '.join(_SIZE)}] AS s, {' * '.join(_SIZE)} AS t), range(3) a(m), (VALUES (1), (5)) b(k), (VALUES ('mttkrp'), ('twostep0'), ('twostep1')) c(method)"),
     "buffer_first_fit": sql([], "SELECT CAST(min(start) AS INT) AS start FROM (SELECT min(cell) AS start, count(*) AS n FROM (SELECT cell, cell - row_number() OVER (ORDER BY cell) AS island FROM cells WHERE owner IS NULL) GROUP BY island) WHERE n >= 4", [_cells()]),
     "buffer_compress": sql([], "SELECT owner, cell, CAST(cell - gaps AS INT) AS new_cell FROM (SELECT *, sum(CASE WHEN owner IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY cell) AS gaps FROM cells) WHERE owner IS NOT NULL", [_cells()]),
-    "jk_als_rank1": sql(["tensor_ev"], f"SELECT j AS jk_fiber, {r('error', 4)} AS error FROM e_2", []),
+    "jk_als_rank1": _jackknife("error"),
+    "jk_fit_std": _jackknife("std"),
+    "queue_of_both": _both(),
+    "concurrent_als": _several({0: 1, 1: 1, 2: 2, 3: 2, 4: 3, 5: 3}, 3, 2),
+    "als_line_search": _searched(True),
+    "als_line_search_unchecked": _searched(False),
+    "hybrid_fit": _hybrid({0: 1, 1: 1, 2: 2, 3: 2}, 2),
     "report_als": sql([], f"SELECT method, CAST(count(*) AS INT) AS iters, {r('min(total)', 2)} AS total, {r('min(defrag)', 2)} AS defrag FROM h GROUP BY method", [HIST]),
     "report_cumflops": sql([], f"SELECT method, iter, {r('sum(flops) OVER (PARTITION BY method ORDER BY iter)', 1)} AS cum_flops FROM h", [HIST]),
     "report_rollup": sql([], f"SELECT method, {r('sum(total)', 2)} AS total, CAST(sum(cols) AS INT) AS cols, {r('sum(flops * iter)', 2)} AS flops, CAST(max(iter) AS INT) AS iters FROM h GROUP BY method", [HIST]),
@@ -278,4 +380,16 @@ ORACLES |= {
     "buffer_leftmost": sql([], "SELECT arg_min(owner, cell) AS owner FROM cells WHERE owner IS NOT NULL", [_cells()]),
     "report_models": f"SELECT model_id AS \"KTENSOR_ID\", components AS \"KTENSOR_RANK\", error AS \"ERROR\", iters AS \"ITERS\" FROM ({_several()})",
 }
-del ORACLES["jk_als_rank1"]  # its start are fitted factors; see the tests
+_SPARSE = "SELECT model_id, sqrt(sum((CASE WHEN (i0 + 2 * i1 + 3 * i2) % 5 = 0 THEN t.val ELSE 0 END - e.val) ** 2)) AS error FROM rec e JOIN tensor t USING (i0, i1, i2) GROUP BY model_id"
+_FLOPS = "(SELECT sum(2 * t + CASE WHEN t // s[n + 1] < s[n + 1] * least(s[(n + 1) % 3 + 1], s[(n + 2) % 3 + 1]) THEN t // s[n + 1] ELSE 2 * s[n + 1] * least(s[(n + 1) % 3 + 1], s[(n + 2) % 3 + 1]) END) FROM range(3) k(n), (SELECT [{sizes}] AS s, {cells} AS t))".format(sizes=", ".join(_SIZE), cells=" * ".join(_SIZE))
+_LABEL = f"concat_ws('-', {', '.join(_SIZE)})"
+ORACLES |= {
+    "error_fast_sparse": sql(["tensor", "sizes"], f"SELECT model_id, {r('error', 3)} AS error FROM ({_SPARSE})", [*F32, ("rec", REC)]),
+    "error_explicit_sparse": sql(["tensor", "sizes"], f"SELECT model_id, {r('error', 3)} AS error FROM ({_SPARSE})", [*F32, ("rec", REC)]),
+    "set_factor": sql(["sizes"], f"SELECT {CELL4}{r('CASE WHEN model_id = 1 AND mode = 1 THEN 2 * val ELSE val END', 6)} AS val FROM f", factor_ctes("(0, 2), (1, 2)")),
+    "set_weights": sql(["sizes"], f"SELECT model_id, comp, {r('CASE WHEN model_id = 0 THEN 1.0 ELSE val END', 6)} AS val FROM w", factor_ctes("(0, 2), (1, 2)")),
+    "matrix_fill": "SELECT CAST(a.range AS INT) AS row, CAST(b.range AS INT) AS col, CAST(a.range + 10 * b.range AS DOUBLE) AS val FROM range(4) a, range(3) b",
+    "component_list": "SELECT CAST(range AS INT) AS model_id, CAST(2 + range // 3 AS INT) AS components FROM range(9)",
+    "report_concurrent": sql(["nk", "pt", "mo"], f"SELECT {_LABEL} AS \"TENSOR_MODES\", CAST(4 AS INT) AS \"BUFFER_SIZE\", CAST(6 AS INT) AS \"N_KTENSORS\", CAST(12 AS INT) AS \"KTENSOR_COMP_SUM\", CAST(range AS INT) AS \"ITER\", CAST(cols AS INT) AS \"COLS\", CAST(models AS INT) AS \"MODELS\", CAST(cols * {_FLOPS} AS BIGINT) AS \"FLOPS\" FROM range(1, 13) JOIN (VALUES (0, 4, 3), (1, 2, 1), (2, 3, 1), (3, 3, 1)) v(part, cols, models) ON (range - 1) // 3 = part"),
+    "report_run": sql(["nk", "pt", "mo"], f"SELECT {_LABEL} AS \"TENSOR_MODES\", CAST(range AS INT) AS \"KTENSOR_ID\", CAST(1 + range // 2 AS INT) AS \"KTENSOR_COMP\", 'unconstrained' AS \"UPDATE_METHOD\", CAST(3 AS INT) AS \"MAX_ITERS\", CAST(3 AS INT) AS \"ITER\", CAST((1 + range // 2) * {_FLOPS} AS BIGINT) AS \"FLOPS\" FROM range(6)"),
+}

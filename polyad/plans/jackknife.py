@@ -12,6 +12,7 @@ from polyad import schema as S
 from polyad.functions import kernels as K
 from polyad.operators.algebra import best_per_rank, leave_out, replicas
 from polyad.plans.als import RESULT, Model, Params, cp_concurrent, fit_array, result_rows
+from polyad.plans.planner import fits
 from polyad.sources.tensors import to_array
 
 
@@ -36,7 +37,7 @@ def jackknife(x: DataFrame, meta: S.TensorMeta, references: DataFrame, params: P
     Columns as of results, and `ref_id`. The left-out row of mode 0 is null in `factors`.
     """
     size = meta.modes[0]
-    ready = prepared(references).select("model_id", "components", "factors")
+    ready = prepared(references).select("model_id", "components", "factors").persist()  # used three times: fitted once
     tagged = replicas(ready, size).join(ready, "model_id").select(F.col("model_id").alias("ref_id"), F.col("replica_id").alias("model_id"), "components", F.lit(None).cast("int").alias("seed"), "jk_mode", "jk_fiber", "factors")
     fitted = cp_concurrent(x, meta, tagged.drop("ref_id"), params, where)
     kept = ready.select(F.col("model_id").alias("ref_id"), F.col("factors").alias("reference"))
@@ -44,6 +45,9 @@ def jackknife(x: DataFrame, meta: S.TensorMeta, references: DataFrame, params: P
     return joined.mapInPandas(_finish(compat, True), RESULT.replace("model_id int", "ref_id int, model_id int", 1))
 
 
+_COLUMNS = list(result_rows([]).columns)
+
+
 def _finish(compat: bool, masked: bool):
     def run(batches):
         for pdf in batches:
@@ -64,15 +68,21 @@ def _finish(compat: bool, masked: bool):
 
             out = pd.DataFrame(rows, columns=pdf.columns)
             out["history"] = [[dict(h) for h in hs] for hs in out["history"]]
-            yield out[["ref_id", *[c.split()[0] for c in RESULT.split(", ") if ":" not in c or c.startswith("history")]]]
+            out["sweeps"] = pd.Series([None if hs is None else [dict(h) for h in hs] for hs in out["sweeps"]], dtype=object)
+            yield out[["ref_id", *_COLUMNS]]
 
     return run
 
 
 def jackknife_by_deletion(x: DataFrame, meta: S.TensorMeta, references: DataFrame, params: Params = Params(), compat: bool = False) -> DataFrame:  # noqa: B008
-    """The same by fitting reduced models to the tensor without the slice: one task for each replica."""
+    """The same by fitting reduced models to the tensor without the slice: one task for each replica.
+
+    Over the broadcast limit replicas are masked, which gives the same models.
+    """
+    if not fits(meta.n_elements):
+        return jackknife(x, meta, references, params, compat, "slabs")
     size = meta.modes[0]
-    ready = prepared(references).select("model_id", "components", "factors", F.col("factors").alias("reference"))
+    ready = prepared(references).select("model_id", "components", "factors", F.col("factors").alias("reference")).persist()
     tagged = replicas(ready, size).join(ready, "model_id").select(F.col("model_id").alias("ref_id"), F.col("replica_id").alias("model_id"), "components", "jk_mode", "jk_fiber", "factors", "reference")
     sent = x.sparkSession.sparkContext.broadcast(to_array(x, meta))
 
@@ -104,7 +114,7 @@ def hybrid(x: DataFrame, meta: S.TensorMeta, models: DataFrame, ranks: list[int]
     """Fit many models, take the best of each rank, jackknife those of `ranks`: (all, best, replicas)."""
     fitted = cp_concurrent(x, meta, models, params).persist()
     best = best_per_rank(fitted.select("model_id", "components", "error")).withColumnRenamed("error", "best_error")
-    chosen = fitted.join(best.select("model_id"), "model_id")
+    chosen = fitted.join(F.broadcast(best.select("model_id")), "model_id")  # one row for each rank
     return fitted, best, jackknife(x, meta, chosen.where(F.col("components").isin(ranks)), replace(params))
 
 

@@ -19,11 +19,11 @@ def lookup(lut: dict[int, int], active: int) -> str | None:
 
 
 def choose(modes: tuple[int, ...], n: int, method: str = "auto", lut: dict[int, int] | None = None, active: int = 1) -> str:
-    """A method's name; `auto` takes the table's word, else the cheaper intermediate result."""
+    """A method's name; `auto` takes the table's word for this many columns, else the cheaper intermediate result."""
     if method not in ("auto", *METHODS):
         raise ValueError(f"unknown method {method}")
     if len(modes) != 3:
-        return "mttkrp"
+        return "auto" if method.startswith("twostep") else method
     if method != "auto":
         return method
     found = lookup(lut or {}, active)
@@ -39,7 +39,7 @@ def choose(modes: tuple[int, ...], n: int, method: str = "auto", lut: dict[int,
 
 def strategy(n_elements: int) -> str:
     """`local` while the tensor fits the broadcast limit, else `slabs`."""
-    return "local" if 8 * n_elements <= MOST_BROADCAST else "slabs"
+    return "local" if fits(n_elements) else "slabs"
 
 
 def lut_lookup(lut: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -64,8 +64,26 @@ def mttkrp_flops(modes: tuple[int, ...], n: int, rank: int, method: str) -> int:
         return 2 * total * rank + rest * rank * (len(modes) - 2)
     from polyad.functions.kernels import contraction
 
-    kept = modes[n] * modes[contraction(n, 0 if method == "twostep0" else 1)[1]]
-    return 2 * total * rank + 2 * kept * rank
+    if len(modes) == 3 and method != "auto":
+        left = [modes[contraction(n, 0 if method == "twostep0" else 1)[1]]]
+    else:
+        left = sorted((size for m, size in enumerate(modes) if m != n), reverse=True)[1:]
+    flops, kept = 2 * total * rank, modes[n]
+    for size in reversed(left):
+        kept *= size
+        flops += 2 * kept * rank
+    return flops
+
+
+def fits(n_elements: int) -> bool:
+    """Whether a dense tensor of so many cells may be sent around."""
+    return 8 * n_elements <= MOST_BROADCAST
+
+
+def groups_for(n_elements: int, columns: int, parallelism: int, work: int = 1 << 27) -> int:
+    """Tasks among which a fit's models are dealt: one, so that all share a buffer and each pass, until cells times columns
+    are worth more than one task."""
+    return max(1, min(parallelism, n_elements * columns // work))
 
 
 # --- admission of models to a buffer of columns ------------------------------------------------------------------

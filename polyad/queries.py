@@ -285,6 +285,47 @@ def error_explicit(s, d):
     return out(A.explicit_error(x, f, w, 3), 3)
 
 
+def _sparse(s, d):
+    """A fifth of the cells of the sales tensor; the others are absent, that is zero."""
+    x, m, f, w = _errors(s, d)
+    return x.where("(i0 + 2 * i1 + 3 * i2) % 5 = 0"), m, f, w
+
+
+@query
+def error_fast_sparse(s, d):
+    x, m, f, w = _sparse(s, d)
+    return out(A.fast_error(x, f, w, A.mttkrp(x, f, m.modes, 2), 3), 3)
+
+
+@query
+def error_explicit_sparse(s, d):
+    x, m, f, w = _sparse(s, d)
+    return out(A.explicit_error(x, f, w, 3), 3)
+
+
+@query
+def set_factor(s, d):
+    f, _ = factors(s, sales(s, d)[1], {0: 2, 1: 2})
+    return out(A.set_factor(f, 1, A.mode_of(f.where("model_id = 1"), 1).withColumn("val", F.col("val") * 2)))
+
+
+@query
+def set_weights(s, d):
+    _, w = factors(s, sales(s, d)[1], {0: 2, 1: 2})
+    return out(A.set_weights(w, w.where("model_id = 0").withColumn("val", F.lit(1.0))))
+
+
+@query
+def matrix_fill(s, d):
+    return out(tensors.matrix(s, 4, 3, F.col("row") + 10 * F.col("col")))
+
+
+@query
+def component_list(s, d):
+    """Each rank from 2 to 4 three times, as models."""
+    return als.model_list(s, [(i, r, None) for i, r in enumerate(als.ranks_and_copies(2, 4, 3))]).select("model_id", "components")
+
+
 @query
 def fit(s, d):
     x, m, f, w = _errors(s, d)
@@ -391,7 +432,16 @@ def concurrent_models(s, d):
 
 @query
 def concurrent_als(s, d):
-    """The flagship: ranks 1 to 3, two starts each, to convergence."""
+    """The flagship: ranks 1 to 3, two starts each, in one buffer of four columns, so that models wait for room."""
+    x, m = sales(s, d)
+    models = als.model_list(s, [(i, r, None) for i, r in enumerate(als.ranks_and_copies(1, 3, 2))])
+    r = als.cp_concurrent(x, m, models, als.Params(max_iterations=3, force_max_iter=True, buffer_size=4))
+    return out(als.models_of(r).select("model_id", "components", "iters", "error", "fit"), 2)
+
+
+@query
+def concurrent_als_converged(s, d):
+    """Random starts, to convergence."""
     x, m = sales(s, d)
     models = [(i, r, 10 * r + i) for i, r in enumerate(als.ranks_and_copies(1, 3, 2))]
     return als.models_of(als.cp_concurrent(x, m, als.model_list(s, models), als.Params(tol=1e-5))).select("model_id", "components", "iters", "error", "fit")
@@ -399,9 +449,16 @@ def concurrent_als(s, d):
 
 @query
 def als_line_search(s, d):
+    """Checked: an extrapolation is taken if its error is less."""
+    return _als(s, d, 2, 4, line_search=True, ls_interval=2, ls_method="error_checking").select("iter", "error")
+
+
+@query
+def als_line_search_unchecked(s, d):
+    """Unchecked: an extrapolation is taken, and taken back if the sweep after it is worse."""
     x, m = sales(s, d)
-    models = als.model_list(s, [(i, 3, i) for i in range(4)])
-    return als.models_of(als.cp_concurrent(x, m, models, als.Params(tol=1e-5, line_search=True, ls_method="error_checking"))).select("model_id", "components", "iters", "error", "fit")
+    r = als.cp_concurrent(x, m, als.model_list(s, [(0, 2, None)]), als.Params(max_iterations=4, force_max_iter=True, line_search=True, ls_interval=2))
+    return out(r.select("iters", "error", "extrapolated", "reverted"), 4)
 
 
 @query
@@ -412,6 +469,33 @@ def hybrid_best_per_rank(s, d):
     return out(A.best_per_rank(errors), 3)
 
 
+@query
+def hybrid_fit(s, d):
+    """The best of each rank among fitted models; replicas of them are `jk_*`."""
+    x, m = sales(s, d)
+    models = als.model_list(s, [(0, 1, None), (1, 1, None), (2, 2, None), (3, 2, None)])
+    _, best, _ = jackknife.hybrid(x, m, models, [1], als.Params(max_iterations=2, force_max_iter=True))
+    return out(best.select("components", "model_id", F.col("best_error").alias("error")), 4)
+
+
+@query
+def queue_of_both(s, d):
+    """A reference model and leave-one-out models in one queue and buffer."""
+    x, m = events(s, d)
+    rows = [(0, 1, None, None, None)] + [(1 + j, 1, None, 0, j) for j in range(m.modes[0])]
+    models = s.createDataFrame(rows, "model_id int, components int, seed int, jk_mode int, jk_fiber int")
+    r = als.cp_concurrent(x, m, models, als.Params(max_iterations=2, force_max_iter=True, buffer_size=5))
+    return out(als.models_of(r).select("model_id", "error"), 4)
+
+
+@query
+def jk_fit_std(s, d):
+    """Deviation over fitted replicas."""
+    x, m = events(s, d)
+    r = jackknife.jackknife(x, m, _references(s, x, m), als.Params(max_iterations=2, force_max_iter=True))
+    return out(A.spread(als.factors_of(r).where("val is not null"), []), 6)
+
+
 def _references(s, x, m, rank=1):
     return als.cp_concurrent(x, m, als.model_list(s, [(0, rank, None)]), als.Params(max_iterations=2, force_max_iter=True))
 
@@ -545,3 +629,26 @@ def report_models(s, d):
     x, m = sales(s, d)
     r = als.cp_concurrent(x, m, als.model_list(s, [(0, 1, None), (1, 2, None), (2, 2, None)]), als.Params(max_iterations=2, force_max_iter=True))
     return out(reports.model_summary(r), 4)
+
+
+def _queued(s, d):
+    x, m = sales(s, d)
+    models = als.model_list(s, [(i, r, None) for i, r in enumerate(als.ranks_and_copies(1, 3, 2))])
+    params = als.Params(max_iterations=3, force_max_iter=True, buffer_size=4)
+    return x, m, models, params
+
+
+@query
+def report_concurrent(s, d):
+    """The sweeps of a fused fit whose models wait for room in the buffer."""
+    x, m, models, params = _queued(s, d)
+    r = reports.concurrent_report(als.cp_concurrent(x, m, models, params), m, params, 1)
+    return r.select("TENSOR_MODES", "BUFFER_SIZE", "N_KTENSORS", "KTENSOR_COMP_SUM", "ITER", "COLS", "MODELS", "FLOPS")
+
+
+@query
+def report_run(s, d):
+    """The report of models fitted one by one."""
+    x, m, models, params = _queued(s, d)
+    r = reports.als_report(als.cp_als_many(x, m, models, params), m, params, 1)
+    return r.select("TENSOR_MODES", "KTENSOR_ID", "KTENSOR_COMP", "UPDATE_METHOD", "MAX_ITERS", "ITER", "FLOPS")

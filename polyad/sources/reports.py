@@ -24,27 +24,35 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
         return None
 
 
-def write_lut(best: DataFrame, path: str) -> None:
-    """`best(backend, modes, threads, mode, rank, method)` as text files below one folder each."""
-    rows = best.select("backend", "modes", "threads", "mode", F.concat_ws(" ", "rank", "method").alias("value"))
-    rows.repartition("backend", "modes", "threads", "mode").sortWithinPartitions(F.split("value", " ")[0].cast("int")).write.mode("overwrite").partitionBy("backend", "modes", "threads", "mode").text(path)
+def lut_path(root: str, backend: str, modes: str, threads: int | None, mode: int) -> str:
+    """Where the table of one mode lies: `<backend>/lookup_tables/<modes>[/<threads>]/<mode>`."""
+    return "/".join([root.rstrip("/"), backend, "lookup_tables", modes, *([str(threads)] if threads is not None else []), str(mode)])
 
 
-def read_lut(spark: SparkSession, path: str, modes: str, threads: int, backend: str = "numpy") -> dict[int, dict[int, int]]:
-    """By mode: rank to method. Ranks are those of mode 0; any missing file makes it empty."""
+def write_lut(best: DataFrame, root: str, backend: str = "numpy") -> None:
+    """`best(modes, threads, mode, rank, method)` as lines `rank method`, a folder for each mode."""
+    for r in best.select("modes", "threads", "mode").distinct().collect():  # a few tables
+        own = best.where((F.col("modes") == r.modes) & F.col("threads").eqNullSafe(r.threads) & (F.col("mode") == r["mode"]))
+        lines = own.coalesce(1).sortWithinPartitions("rank").select(F.concat_ws(" ", "rank", "method").alias("value"))
+        lines.write.mode("overwrite").text(lut_path(root, backend, r.modes, r.threads, r["mode"]))
+
+
+def read_lut(spark: SparkSession, root: str, modes: str, threads: int | None, backend: str = "numpy", suppress: bool = True) -> dict[int, dict[int, int]]:
+    """By mode: rank to method. Ranks are those of mode 0; any missing table makes it empty, with a warning unless suppressed."""
     from pyspark.errors import AnalysisException
 
+    out: dict[int, dict[int, int]] = {}
     try:
-        found = spark.read.text(path).where((F.col("backend") == backend) & (F.col("modes") == modes) & (F.col("threads") == threads))
-        rows = found.select("mode", F.split("value", " ").alias("p")).select(F.col("mode").cast("int"), F.col("p")[0].cast("int").alias("rank"), F.col("p")[1].cast("int").alias("method")).collect()
+        for n in range(len(modes.split("-"))):
+            lines = spark.read.text(lut_path(root, backend, modes, threads, n)).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= 2)
+            out[n] = {r.rank: r.method for r in lines.select(F.col("p")[0].cast("int").alias("rank"), F.col("p")[1].cast("int").alias("method")).orderBy("rank").collect()}
     except AnalysisException:
+        if not suppress:
+            import warnings
+
+            warnings.warn(f"no look-up table for {modes}", stacklevel=2)
         return {}
-    out: dict[int, dict[int, int]] = {n: {} for n in range(len(modes.split("-")))}
-    for r in rows:
-        out[r["mode"]][r["rank"]] = r["method"]
-    if not all(out.values()):
-        return {}
-    return {n: {r: table[r] for r in sorted(out[0]) if r in table} for n, table in out.items()}
+    return {n: {k: table[k] for k in out[0] if k in table} for n, table in out.items()}
 
 
 def fastest(iterations: DataFrame, keys: list[str], timers: list[str]) -> DataFrame:
@@ -78,22 +86,55 @@ def pivot(timings: DataFrame, components: list[int]) -> DataFrame:
     return wide.select("method", *[F.col(f"`{c}`").alias(f"r{c}") for c in components], sum((F.coalesce(f"`{c}`", F.lit(0.0)) for c in components), F.lit(0.0)).alias("total"))
 
 
-ALS_COLUMNS = ["TENSOR_RANK", "TENSOR_MODES", "KTENSOR_ID", "KTENSOR_COMP", "UPDATE_METHOD", "LINE_SEARCH", "MAX_ITERS", "ITER", "NUM_THREADS", "FLOPS", "ERROR", "FIT", "STATUS"]
+_ALS_HEAD = "TENSOR_RANK int, TENSOR_MODES string, KTENSOR_ID int, KTENSOR_COMP int, UPDATE_METHOD string, LINE_SEARCH boolean, MAX_ITERS int, ITER int, NUM_THREADS int, TOTAL double, FLOPS bigint"
+_CALS_HEAD = "TENSOR_RANK int, TENSOR_MODES string, BUFFER_SIZE int, N_KTENSORS int, KTENSOR_COMP_SUM int, UPDATE_METHOD string, LINE_SEARCH boolean, MAX_ITERS int, ITER int, NUM_THREADS int, TOTAL double, FLOPS bigint, COLS int"
+_TIMERS = "ITERATION double, DEFRAGMENTATION double, ERROR double, LINESEARCH double, G_COPY double"
+MODEL_REPORT = "KTENSOR_ID int, KTENSOR_RANK int, ERROR double, ITERS int"
+BENCH_REPORT = "MODE int, TENSOR_MODES string, FLOPS bigint, MEMOPS bigint, RANK int, THREADS int, TIME double, F_TIME double, S_TIME double"
 
 
-def als_report(results: DataFrame, meta, params, threads: int) -> DataFrame:
-    """One row for each model; FLOPs are those of its products in one sweep, as the planner chooses them."""
-    from polyad.plans.planner import choose, mttkrp_flops
+def _mode_timers(n_modes: int) -> str:
+    return ", ".join(f"MODE_{n}_TOTAL_MTTKRP double, MODE_{n}_UPDATE double" for n in range(n_modes))
+
 
-    per = sum(mttkrp_flops(meta.modes, n, 1, choose(meta.modes, n, params.mttkrp_method)) for n in range(len(meta.modes)))
-    values = [F.lit(meta.rank), F.lit(meta.label()), F.col("model_id"), F.col("components"), F.lit(params.update_method), F.lit(params.line_search), F.lit(params.max_iterations), F.col("iters"), F.lit(threads), F.col("components") * F.lit(per).cast("bigint"), F.col("error"), F.col("fit"), F.col("status")]
-    return results.select(*[v.alias(c) for v, c in zip(values, ALS_COLUMNS, strict=True)])
+def als_schema(n_modes: int) -> str:
+    return f"{_ALS_HEAD}, {_TIMERS}, {_mode_timers(n_modes)}"
 
 
-def concurrent_report(results: DataFrame) -> DataFrame:
-    """One row for each iteration: models and columns still in it, and the line search's counts so far."""
-    steps = results.select("model_id", "components", F.explode("history").alias("h"))
-    return steps.groupBy(F.col("h.iter").alias("ITER")).agg(F.count("*").alias("N_KTENSORS"), F.sum("components").alias("COLS"), F.min("h.error").alias("LEAST_ERROR"))
+def concurrent_schema(n_modes: int) -> str:
+    return f"{_CALS_HEAD}, {_TIMERS}, {_mode_timers(n_modes)}"
+
+
+def jackknife_schema(components: list[int]) -> str:
+    return "Method string, " + ", ".join(f"`{c}` double" for c in components) + ", total double"
+
+
+def _timers(n_modes: int, value) -> list:
+    """Columns of the timers; `value` makes a column of one of a sweep's fields."""
+    names = [("seconds", "ITERATION"), ("defrag", "DEFRAGMENTATION"), ("error", "ERROR"), ("line_search", "LINESEARCH")]
+    modes = [(F.col("s." + f)[n], f"MODE_{n}_{t}") for n in range(n_modes) for f, t in (("mttkrp", "TOTAL_MTTKRP"), ("update", "UPDATE"))]
+    return [*(value(F.col("s." + f)).alias(t) for f, t in names), F.lit(0.0).alias("G_COPY"), *(value(c).alias(t) for c, t in modes)]
+
+
+def als_report(results: DataFrame, meta, params, threads: int) -> DataFrame:
+    """A row for each model that was fitted for itself; timers are the least over its sweeps but the last (or the only one)."""
+    swept = results.select("model_id", "components", "iters", F.size("sweeps").alias("n"), F.posexplode("sweeps").alias("at", "s"))
+    counted = (F.col("at") < F.col("n") - 1) | (F.col("n") == 1)
+    per = swept.groupBy("model_id", "components", "iters").agg(
+        F.sum("s.seconds").alias("TOTAL"), F.first("s.flops").alias("FLOPS"), *_timers(len(meta.modes), lambda c: F.min(F.when(counted, c)))
+    )
+    head = [F.lit(meta.rank).alias("TENSOR_RANK"), F.lit(meta.label()).alias("TENSOR_MODES"), F.col("model_id").alias("KTENSOR_ID"), F.col("components").alias("KTENSOR_COMP"), F.lit(params.update_method).alias("UPDATE_METHOD"), F.lit(params.line_search).alias("LINE_SEARCH"), F.lit(params.max_iterations).alias("MAX_ITERS"), F.col("iters").alias("ITER"), F.lit(threads).alias("NUM_THREADS")]
+    return per.select(*head, *[c for c in per.columns if c not in ("model_id", "components", "iters")])
+
+
+def concurrent_report(results: DataFrame, meta, params, threads: int) -> DataFrame:
+    """A row for each sweep of a fused fit, with its models, columns, FLOPs, timers and line searches."""
+    whole = results.agg(F.count("*").cast("int").alias("N_KTENSORS"), F.sum("components").cast("int").alias("KTENSOR_COMP_SUM"))
+    swept = results.where("sweeps is not null").select("model_id", F.explode("sweeps").alias("s"))
+    total = swept.groupBy("model_id").agg(F.sum("s.seconds").alias("TOTAL"))
+    joined = swept.join(total, "model_id").join(F.broadcast(whole), F.lit(True))  # one row
+    head = [F.lit(meta.rank).alias("TENSOR_RANK"), F.lit(meta.label()).alias("TENSOR_MODES"), F.lit(params.buffer_size).alias("BUFFER_SIZE"), "N_KTENSORS", "KTENSOR_COMP_SUM", F.lit(params.update_method).alias("UPDATE_METHOD"), F.lit(params.line_search).alias("LINE_SEARCH"), F.lit(params.max_iterations).alias("MAX_ITERS"), F.col("s.iter").alias("ITER"), F.lit(threads).alias("NUM_THREADS"), "TOTAL", F.col("s.flops").alias("FLOPS"), F.col("s.cols").alias("COLS")]
+    return joined.select(*head, *_timers(len(meta.modes), lambda c: c), F.col("s.models").alias("MODELS"), F.col("s.extrapolated").alias("LS_EXTRAPOLATED"), F.col("s.reverted").alias("LS_REVERTED"))
 
 
 def model_summary(results: DataFrame) -> DataFrame:
@@ -115,3 +156,31 @@ def efficiency(bench: DataFrame, peak: float) -> DataFrame:
     """`bench(mode, rank, method, flops, time)`: share of the peak reached by the best method, summed over modes."""
     best = bench.groupBy("mode", "rank").agg(F.max_by(F.struct("flops", "time"), F.col("flops") / F.col("time")).alias("b"))
     return best.groupBy("rank").agg((F.sum("b.flops") / F.sum("b.time") / F.lit(peak)).alias("efficiency"))
+
+
+def peak_flops(ghz: float, flops_per_cycle: int, threads: int) -> float:
+    """FLOP/s of a machine at its best."""
+    return ghz * 1e9 * flops_per_cycle * threads
+
+
+def append_bench(bench: DataFrame, path: str) -> None:
+    """Rows of BENCH_REPORT added to a report."""
+    write_csv(bench, path, "append")
+
+
+def describe(results: DataFrame, model_id: int, digits: int = 4) -> str:
+    """A fitted model as text: its weights and the matrices of its factors."""
+    row = results.where(F.col("model_id") == model_id).select("components", "error", "fit", "weights", "factors").first()
+    if row is None:
+        return f"no model {model_id}"
+    line = lambda values: " ".join("-" if v is None else f"{v:.{digits}f}" for v in values)
+    parts = [f"model {model_id}: {row.components} components, error {row.error:.{digits}f}, fit {row.fit:.{digits}f}", f"weights: {line(row.weights)}"]
+    for n, factor in enumerate(row.factors):
+        parts += [f"mode {n}, {len(factor)} x {row.components}:", *(line(r) for r in factor)]
+    return "\n".join(parts)
+
+
+def describe_tensor(x: DataFrame, meta, most: int = 20) -> str:
+    """A tensor's sizes and its first cells as text."""
+    cells = [" ".join([*(str(r[c]) for c in meta.index_columns), f"{r.val:g}"]) for r in x.orderBy(*reversed(meta.index_columns)).limit(most).collect()]
+    return "\n".join([f"tensor {meta.label()}, {meta.n_elements} cells", *cells])

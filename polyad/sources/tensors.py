@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyad.plans.planner import fits
 from polyad.schema import TensorMeta
 
 
@@ -22,26 +23,29 @@ def grid(spark: SparkSession, modes: tuple[int, ...]) -> DataFrame:
 def read_text(spark: SparkSession, path: str) -> tuple[DataFrame, TensorMeta]:
     """First line: sizes; then values in any line layout, first index fastest. Raises if the count is wrong.
 
-    Lines are numbered by file offset order; values get their place from the counts of the lines before, so
-    the file is parsed by all executors.
+    A folder's files are read in the order of their names. Lines are in the order of file, start of the split and
+    place in it, wherever Spark reads them; values get their place from the counts before, so all executors parse.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    head = lines.orderBy("at").first()
+    read = spark.read.text(path)
+    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    head = lines.where(F.col("value") != "").orderBy("file", "block", "at").first()
+    if head is None:
+        raise ValueError(f"{path} is empty")
     modes = tuple(int(x) for x in head.value.split())
     meta = TensorMeta(modes)
-    body = lines.where(F.col("at") > head.at).withColumn("parts", F.filter(F.split("value", r"\s+"), lambda x: x != ""))
-    sized = body.withColumn("block", F.shiftright("at", 33)).withColumn("n", F.size("parts"))
-    blocks = sized.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()  # one row per file split
+    first = (F.col("file") == head.file) & (F.col("block") == head.block) & (F.col("at") <= head.at)
+    sized = lines.where(~first).withColumn("parts", F.filter(F.split("value", r"\s+"), lambda x: x != "")).withColumn("n", F.size("parts"))
+    blocks = sized.groupBy("file", "block").agg(F.sum("n").alias("n")).orderBy("file", "block").collect()  # one row per file split
     if sum(b.n for b in blocks) != meta.n_elements:
         raise ValueError(f"{path}: {sum(b.n for b in blocks)} values for sizes {meta.label()}")
     offset, starts = 0, []
     for b in blocks:
-        starts.append((b.block, offset))
+        starts.append((b.file, b.block, offset))
         offset += b.n
     from pyspark.sql import Window
 
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("before", before).join(F.broadcast(spark.createDataFrame(starts or [(0, 0)], "block bigint, start bigint")), "block")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sized.withColumn("before", before).join(F.broadcast(spark.createDataFrame(starts, "file string, block bigint, start bigint")), ["file", "block"])
     values = placed.select(F.posexplode("parts").alias("k", "v"), (F.col("start") + F.col("before")).alias("base"))
     lin, cols, step = F.col("base") + F.col("k"), [], 1
     for name, size in zip(meta.index_columns, modes, strict=True):
@@ -95,16 +99,22 @@ def from_array(spark: SparkSession, x: np.ndarray) -> tuple[DataFrame, TensorMet
     return spark.createDataFrame(pd.DataFrame(data | {"val": np.nan_to_num(x.ravel(order="F"), nan=0.0)}), meta.schema()), meta
 
 
-def to_array(df: DataFrame, meta: TensorMeta, most: int = 64_000_000) -> np.ndarray:
-    """The dense array on the driver, for tensors of at most `most` cells."""
-    if meta.n_elements > most:
-        raise ValueError(f"{meta.label()} has over {most} cells")
+def to_array(df: DataFrame, meta: TensorMeta) -> np.ndarray:
+    """The dense array on the driver, for tensors within the broadcast limit."""
+    if not fits(meta.n_elements):
+        raise ValueError(f"{meta.label()} is over the broadcast limit")
     table = df.select(*meta.index_columns, "val").toArrow()
     out = np.zeros(meta.modes)
     out[tuple(table.column(c).to_numpy() for c in meta.index_columns)] = table.column("val").to_numpy()
     return out
 
 
+def matrix(spark: SparkSession, rows: int, cols: int, value: Column | None = None) -> DataFrame:
+    """`(row, col, val)` from an expression of row and col; zeros without."""
+    cells = spark.range(rows * cols).select((F.col("id") % rows).cast("int").alias("row"), F.floor(F.col("id") / rows).cast("int").alias("col"))
+    return cells.withColumn("val", (F.lit(0.0) if value is None else value).cast("double"))
+
+
 def fill(spark: SparkSession, modes: tuple[int, ...], value: Column) -> DataFrame:
     """Every cell from an expression of i0, i1, ..."""
     return grid(spark, modes).withColumn("val", value.cast("double"))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from polyad.functions import kernels as K
 from polyad.plans.als import Model, Params, fit_array
+from polyad.plans.buffer import ColumnBuffer
 from polyad.plans.planner import choose, lookup, mttkrp_flops
 
 RNG = np.random.default_rng(0)
@@ -70,11 +71,60 @@ def test_nnls_meets_the_conditions():
         rng = np.random.default_rng(seed)
         a = rng.standard_normal((8, 4))
         h, g = a.T @ a, rng.standard_normal((5, 8)) @ a
-        d = K.nnls(g, h, np.ones(g.shape, bool))
+        d, regular = K.nnls(g, h, np.ones(g.shape, bool))
+        assert regular
         w = g - d @ h
         assert (d >= 0).all() and (w[d == 0] <= 1e-8).all() and np.abs(w[d > 0]).max(initial=0) < 1e-8
 
 
+def test_nnls_is_the_best_of_all_patterns():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        r = 1 + seed % 4
+        a = rng.standard_normal((9, r))
+        h, g = a.T @ a, rng.standard_normal((30, 9)) @ a
+        d, _ = K.nnls(g, h, rng.random(g.shape) < 0.5)
+        for row, found in zip(g, d):
+            best = np.inf
+            for free in itertools.product([False, True], repeat=r):
+                free, x = np.array(free), np.zeros(r)
+                if free.any():
+                    x[free] = np.linalg.solve(h[np.ix_(free, free)], row[free])
+                if (x >= 0).all():
+                    best = min(best, x @ h @ x / 2 - row @ x)
+            assert found @ h @ found / 2 - row @ found == pytest.approx(best, abs=1e-9)
+
+
+def test_nnls_of_singular_systems_ends():
+    h = np.ones((3, 3))
+    d, regular = K.nnls(np.array([[1.0, 1.0, 1.0], [-1.0, 2.0, 0.0]]), h, np.ones((2, 3), bool))
+    assert not regular and (d >= 0).all() and np.isfinite(d).all() and d[0].sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_buffer():
+    b = ColumnBuffer((3, 2), 7)
+    f = lambda n, v: [np.full((3, n), float(v)), np.full((2, n), float(v))]
+    assert b.add(1, f(2, 1)) and b.add(2, f(3, 2)) and b.add(3, f(1, 3)) and not b.add(4, f(2, 4)) and b.width == 6
+    assert b.leftmost() == 1
+    b.remove(2)
+    assert b.first_fit(3) == 2 and b.first_fit(4) is None and b.width == 6 and not b.active()[0][:, 2:5].any()
+    assert b.add(5, f(2, 5)) and b.columns(5) == slice(2, 4)
+    b.remove(1)
+    b.compress()
+    assert b.columns(5) == slice(0, 2) and b.columns(3) == slice(2, 3) and b.width == 3 and b.leftmost() == 5
+    assert [list(x[0]) for x in b.active()] == [[5, 5, 3]] * 2
+    b.write(3, 0, np.full((3, 1), 9.0))
+    assert list(b.active()[0][1]) == [5, 5, 9]
+    assert b.add(6, f(4, 6)) and b.width == 7 and not b.add(7, f(1, 7))
+
+
+def test_first_is_evicted_first():
+    lam, factors = K.random_model((5, 4, 3), 2, 0)
+    x = K.reconstruct(lam, factors)
+    done, report = fit_array(x, [_model(i, x.shape, 2) for i in (7, 3, 5)], Params(max_iterations=50, force_max_iter=True, always_evict_first=True, buffer_size=4))
+    assert {m.id: m.iters for m in done} == {7: 1, 3: 2, 5: 2} and [r["models"] for r in report] == [2, 2, 1]
+
+
 def test_singular_systems_fall_back():
     u, regular = K.solve_spd(np.ones((2, 2)), np.zeros((2, 2)))
     assert not regular and np.isfinite(u).all()
@@ -143,7 +193,7 @@ def test_options():
 
 def test_planner():
     assert lookup({}, 3) is None and lookup({1: 2, 4: 0}, 2) == "mttkrp" and lookup({1: 2, 4: 0}, 9) == "mttkrp"
-    assert choose((3, 3, 3, 3), 0, "twostep0") == "mttkrp" and choose((9, 9, 9), 0, "auto", {1: 1}, 1) == "twostep0"
+    assert choose((3, 3, 3, 3), 0, "twostep0") == "auto" and choose((3, 3, 3, 3), 0, "mttkrp") == "mttkrp" and choose((9, 9, 9), 0, "auto", {1: 1}, 1) == "twostep0"
     assert mttkrp_flops((2, 3, 4), 0, 5, "mttkrp") == 2 * 24 * 5 + 12 * 5
     with pytest.raises(ValueError):
         choose((2, 2, 2), 0, "magic")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from polyad.functions import kernels as K
 from polyad.functions.udtf import register
 from polyad.operators import algebra as A
-from polyad.plans import als, jackknife
+from polyad.plans import als, compare, jackknife, planner
 from polyad.schema import TensorMeta
 from polyad.sources import reports, tensors
 from polyad.streaming.queue import fit_stream, read_models
@@ -37,6 +37,23 @@ def test_text_tensor(spark, tmp_path):
         tensors.read_text(spark, str(path))
 
 
+def test_text_tensor_in_splits_and_parts(spark, tmp_path):
+    values = np.random.default_rng(0).random(30 * 20 * 10).round(6)
+    lines = [" ".join(str(v) for v in values[i : i + 7]) for i in range(0, len(values), 7)]
+    (tmp_path / "parts").mkdir()
+    # the header lies in the smaller part, which Spark reads last
+    (tmp_path / "parts/a.txt").write_text("30 20 10\n" + "\n".join(lines[:50]) + "\n")
+    (tmp_path / "parts/b.txt").write_text("\n".join(lines[50:]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4096", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df, meta = tensors.read_text(spark, str(tmp_path / "parts"))
+            assert np.array_equal(tensors.to_array(df, meta), values.reshape(30, 20, 10, order="F"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_arrays_round_trip(spark, x):
     df, meta = x
     full = tensors.to_array(df, meta)
@@ -54,6 +71,8 @@ def test_slabs_equal_local(spark, x):
     params = als.Params(max_iterations=4, force_max_iter=True)
     rows = [{r.model_id: r.error for r in als.models_of(als.cp_concurrent(df, meta, models, params, where)).collect()} for where in ("local", "slabs")]
     single = {r.model_id: r.error for r in als.models_of(als.cp_als_many(df, meta, models, params)).collect()}
+    again = {r.model_id: r.error for r in als.models_of(als.cp_concurrent(df, meta, models, params, groups=2)).collect()}
+    assert again == pytest.approx(rows[0])
     for i in (0, 1):
         assert rows[0][i] == pytest.approx(rows[1][i], abs=1e-9) == pytest.approx(single[i], abs=1e-9)
 
@@ -79,27 +98,143 @@ def test_hybrid_and_jackknife(spark, x):
 
 
 def test_reports_and_tables(spark, tmp_path):
-    best = spark.createDataFrame([("numpy", "3-4-5", 2, m, r, (m + r) % 3) for m in range(3) for r in (1, 2, 8)], "backend string, modes string, threads int, mode int, rank int, method int")
+    best = spark.createDataFrame([("3-4-5", 2, m, r, (m + r) % 3) for m in range(3) for r in (1, 2, 8)], "modes string, threads int, mode int, rank int, method int")
     reports.write_lut(best, str(tmp_path / "lut"))
+    assert (tmp_path / "lut/numpy/lookup_tables/3-4-5/2/0").is_dir()
     lut = reports.read_lut(spark, str(tmp_path / "lut"), "3-4-5", 2)
     assert lut == {m: {r: (m + r) % 3 for r in (1, 2, 8)} for m in range(3)}
-    assert reports.read_lut(spark, str(tmp_path / "lut"), "9-9-9", 2) == {} == reports.read_lut(spark, str(tmp_path / "none"), "3-4-5", 2)
+    assert reports.read_lut(spark, str(tmp_path / "lut"), "9-9-9", 2) == {}
+    with pytest.warns(UserWarning):
+        assert reports.read_lut(spark, str(tmp_path / "none"), "3-4-5", 2, suppress=False) == {}
+    # tables as plain files and without a level for threads
+    (tmp_path / "gpu/GPU/lookup_tables/2-2-2").mkdir(parents=True)
+    for m in range(3):
+        (tmp_path / f"gpu/GPU/lookup_tables/2-2-2/{m}").write_text("1 0\n10 2\n")
+    assert reports.read_lut(spark, str(tmp_path / "gpu"), "2-2-2", None, "GPU") == {m: {1: 0, 10: 2} for m in range(3)}
     table = spark.createDataFrame([(1, 2.5)], "KTENSOR_ID int, ERROR double")
     reports.write_csv(table, str(tmp_path / "r"))
     assert reports.read_csv(spark, str(tmp_path / "r")).collect() == table.collect()
     with pytest.warns(UserWarning):
         assert reports.read_csv(spark, str(tmp_path / "missing")) is None
+    # a separator at the end of every line
+    (tmp_path / "m.csv").write_text("KTENSOR_ID;KTENSOR_RANK;ERROR;ITERS;\n3;2;0.5;7;\n")
+    assert tuple(reports.read_csv(spark, str(tmp_path / "m.csv"), reports.MODEL_REPORT).first()) == (3, 2, 0.5, 7)
+    (tmp_path / "j.csv").write_text("Method;3;5;total;\ndeleting;1.5;2.5;4.0;\n")
+    assert tuple(reports.read_csv(spark, str(tmp_path / "j.csv"), reports.jackknife_schema([3, 5])).first()) == ("deleting", 1.5, 2.5, 4.0)
+    assert reports.peak_flops(2.0, 32, 12) == 768e9
 
 
-def test_run_reports(spark, x):
+def test_run_reports(spark, x, tmp_path):
     df, meta = x
-    params = als.Params(max_iterations=12, force_max_iter=True, line_search=True, ls_interval=3)
-    r = als.cp_concurrent(df, meta, als.shuffled(als.model_list(spark, [(i, 2, i) for i in range(3)]), 4), params).persist()
-    rows = reports.als_report(r, meta, params, 4).orderBy("KTENSOR_ID").collect()
-    assert [x.KTENSOR_ID for x in rows] == [0, 1, 2] and rows[0].TENSOR_MODES == "7-5-6" and rows[0].FLOPS > 0
-    steps = {x.ITER: x for x in reports.concurrent_report(r).collect()}
-    assert steps[1].COLS == 6 and steps[1].N_KTENSORS == 3
+    params = als.Params(max_iterations=12, force_max_iter=True, line_search=True, ls_interval=3, ls_method="error_checking", buffer_size=4)
+    models = als.shuffled(als.model_list(spark, [(i, 2, i) for i in range(3)]), 4)
+    r = compare.run_concurrent(df, meta, models, params, str(tmp_path)).persist()
     assert all(x.extrapolated > 0 and x.reverted <= x.extrapolated for x in r.collect())
+    rows = reports.read_csv(spark, str(tmp_path / "fused"), reports.concurrent_schema(3) + ", MODELS int, LS_EXTRAPOLATED int, LS_REVERTED int").orderBy("ITER").collect()
+    # two models have room at first; the third comes when they leave
+    assert [x.COLS for x in rows][:12] == [4] * 12 and rows[12].COLS == 2 and {x.MODELS for x in rows} == {1, 2}
+    assert sum(x.LS_EXTRAPOLATED for x in rows) == sum(x.extrapolated for x in r.collect())
+    assert rows[0].TENSOR_MODES == "7-5-6" and rows[0].N_KTENSORS == 3 and rows[0].KTENSOR_COMP_SUM == 6 and rows[0].BUFFER_SIZE == 4
+    per_column = [sum(planner.mttkrp_flops(meta.modes, n, 1, planner.choose(meta.modes, n)) for n in range(3))]
+    assert all(x.FLOPS == x.COLS * per_column[0] for x in rows)
+    assert all(x.ITERATION > 0 and x.MODE_0_TOTAL_MTTKRP > 0 and x.MODE_2_UPDATE > 0 for x in rows)
+    single = als.cp_als_many(df, meta, models, params).persist()
+    reports.write_csv(reports.als_report(single, meta, params, 4), str(tmp_path / "als"))
+    rows = reports.read_csv(spark, str(tmp_path / "als"), reports.als_schema(3)).orderBy("KTENSOR_ID").collect()
+    assert [x.KTENSOR_ID for x in rows] == [0, 1, 2] and all(x.ITER == 12 and x.FLOPS == 2 * per_column[0] and 0 < x.ITERATION <= x.TOTAL for x in rows)
+    assert reports.read_csv(spark, str(tmp_path / "fused_models"), reports.MODEL_REPORT).count() == 3
+    text = reports.describe(r, 1)
+    assert text.startswith("model 1: 2 components") and "mode 2, 6 x 2:" in text and reports.describe(r, 9) == "no model 9"
+    assert reports.describe_tensor(df, meta, 2).splitlines()[0] == "tensor 7-5-6, 210 cells"
+
+
+def test_ways_of_fitting_agree(spark, x, tmp_path):
+    df, meta = x
+    models = als.model_list(spark, [(i, 1 + i % 3, i) for i in range(6)])
+    found = compare.compare(df, meta, models, als.Params(max_iterations=20, force_max_iter=True, buffer_size=5), str(tmp_path)).collect()
+    assert [r.method for r in found] == ["serial", "per_model", "fused"] and all(r.agree and r.models == 6 and r.components == 12 and r.largest_difference < 1e-9 for r in found)
+    assert reports.read_csv(spark, str(tmp_path / "serial"), reports.als_schema(3)).count() == 6
+    wide = compare.compare_jackknife(df, meta, [1, 2], als.Params(max_iterations=2, force_max_iter=True))
+    assert wide.columns == ["Method", "1", "2", "total"] and wide.count() == 2
+
+
+def test_benchmark_makes_a_table_for_the_fit(spark, x, tmp_path):
+    df, meta = x
+    bench = compare.benchmark_mttkrp(spark, meta.modes, [1, 4], repeats=2).persist()
+    assert bench.count() == 18 and bench.where("TIME <= 0 or FLOPS <= 0").count() == 0
+    reports.append_bench(bench.drop("method"), str(tmp_path / "b"))
+    reports.append_bench(bench.drop("method"), str(tmp_path / "b"))
+    assert reports.read_csv(spark, str(tmp_path / "b"), reports.BENCH_REPORT).count() == 36
+    reports.write_lut(compare.measured_lut(bench), str(tmp_path / "lut"))
+    lut = reports.read_lut(spark, str(tmp_path / "lut"), meta.label(), 1)
+    assert set(lut) == {0, 1, 2} and all(set(t) == {1, 4} for t in lut.values())
+    models = als.model_list(spark, [(0, 2, 1)])
+    errors = []
+    for params in (als.Params(max_iterations=3, force_max_iter=True), compare.with_table(als.Params(max_iterations=3, force_max_iter=True), lut)):
+        errors.append(als.models_of(als.cp_concurrent(df, meta, models, params)).first().error)
+        assert params.method(meta.modes, 0, 3) == (planner.METHODS[lut[0][4]] if params.lut else planner.choose(meta.modes, 0))
+    assert errors[0] == pytest.approx(errors[1])
+
+
+def test_given_models_and_set_factors(spark, x):
+    df, meta = x
+    r = als.cp_als(df, meta, 2, seed=3, params=als.Params(max_iterations=3, force_max_iter=True)).persist()
+    # a foreign model with weights goes on where it ended
+    given = r.select(F.lit(5).alias("model_id"), "components", F.lit(None).cast("int").alias("seed"), "factors", "weights")
+    more = als.models_of(als.cp_concurrent(df, meta, given, als.Params(max_iterations=3, force_max_iter=True))).first()
+    assert more.error <= als.models_of(r).first().error + 1e-12
+    f, w = als.factors_of(r), als.weights_of(r)
+    other = A.mode_of(f, 1).withColumn("val", F.col("val") * 2)
+    twice = A.reconstruct(A.set_factor(f, 1, other), w, 3)
+    assert A.subtract(twice.drop("model_id"), A.reconstruct(f, A.set_weights(w, w.withColumn("val", F.col("val") * 2)), 3).drop("model_id")).where("abs(val) > 1e-9").count() == 0
+    assert tensors.matrix(spark, 3, 2, F.col("row") + 10 * F.col("col")).agg(F.sum("val")).first()[0] == 36
+
+
+def test_errors_of_sparse_tensors(spark):
+    """Absent cells are zeros."""
+    df = spark.createDataFrame([(0, 0, 0, 1.0)], "i0 int, i1 int, i2 int, val double")
+    f = spark.createDataFrame([(0, m, i, 0, 1.0) for m in range(3) for i in range(2)], "model_id int, mode int, row int, comp int, val double")
+    w = spark.createDataFrame([(0, 0, 1.0)], "model_id int, comp int, val double")
+    fast = A.fast_error(df, f, w, A.mttkrp(df, f, (2, 2, 2), 2), 3).first().error
+    assert A.explicit_error(df, f, w, 3).first().error == pytest.approx(7**0.5) == pytest.approx(fast)
+
+
+def test_broadcast_limit_holds_for_all_drivers(spark, x, monkeypatch):
+    from polyad.plans import planner as P
+
+    df, meta = x
+    models = als.model_list(spark, [(0, 2, 1), (1, 1, 2)])
+    params = als.Params(max_iterations=2, force_max_iter=True)
+    want = {r.model_id: r.error for r in als.models_of(als.cp_als_many(df, meta, models, params)).collect()}
+    reference = als.cp_als(df, meta, 1, seed=2, params=params).persist()
+    wanted = {r.jk_fiber: r.error for r in jackknife.jackknife_by_deletion(df, meta, reference, params).collect()}
+    monkeypatch.setattr(P, "MOST_BROADCAST", 100)
+    assert {r.model_id: r.error for r in als.models_of(als.cp_als_many(df, meta, models, params)).collect()} == pytest.approx(want)
+    assert {r.jk_fiber: r.error for r in jackknife.jackknife_by_deletion(df, meta, reference, params).collect()} == pytest.approx(wanted)
+    with pytest.raises(ValueError):
+        tensors.to_array(df, meta)
+
+
+def test_explicit_product_writes_no_khatri_rao_relation(spark):
+    modes = (3, 4, 2, 5)
+    df, meta = tensors.low_rank(spark, modes, 2, 3)
+    f, _ = A.normalize(A.sine_factors(spark, modes, {0: 2, 1: 3}))
+    full = tensors.to_array(df, meta)
+    for n in range(4):
+        got = {(r.model_id, r.row, r.comp): r.val for r in A.mttkrp(df, f, modes, n).collect()}
+        for model, rank in ((0, 2), (1, 3)):
+            _, factors = K.sine_model(modes, rank, model)
+            want = K.mttkrp(full, factors, n, "mttkrp")
+            assert np.allclose(want, K.mttkrp(full, factors, n))
+            assert all(got[model, i, c] == pytest.approx(want[i, c]) for i in range(modes[n]) for c in range(rank))
+    plan = A.mttkrp_explicit(df, f, modes, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 4
+
+
+def test_command_line(capsys):
+    code = "from polyad.cli import main; main(['-n', '2', '-c', '1:2:2', '-t', '6-5-4', 'tol', '1e-5', 'maxiters', '5'])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0 and "speed-up" in done.stdout, done.stderr
 
 
 def test_stream_of_models(spark, x, tmp_path):
@@ -124,6 +259,20 @@ def test_table_function(spark, x):
     assert rows[0].error == pytest.approx(want.error)
 
 
+def test_table_function_has_a_bound():
+    from polyad.functions.udtf import CpAls
+
+    made = CpAls.func() if hasattr(CpAls, "func") else None
+    if made is None:
+        pytest.skip("the class is not reachable")
+    made.MOST = 2
+    cell = lambda i: type("R", (), {"asDict": lambda self: {"i0": i, "i1": 0, "i2": 0, "val": 1.0}})()
+    made.eval(cell(0), 1, 1)
+    made.eval(cell(1), 1, 1)
+    with pytest.raises(ValueError):
+        made.eval(cell(2), 1, 1)
+
+
 def test_two_step_aggregates_before_the_second_join(spark, x):
     df, meta = x
     f, _ = A.normalize(A.sine_factors(spark, meta.modes, {0: 2}))
