@@ -393,3 +393,35 @@ ORACLES |= {
     "report_concurrent": sql(["nk", "pt", "mo"], f"SELECT {_LABEL} AS \"TENSOR_MODES\", CAST(4 AS INT) AS \"BUFFER_SIZE\", CAST(6 AS INT) AS \"N_KTENSORS\", CAST(12 AS INT) AS \"KTENSOR_COMP_SUM\", CAST(range AS INT) AS \"ITER\", CAST(cols AS INT) AS \"COLS\", CAST(models AS INT) AS \"MODELS\", CAST(cols * {_FLOPS} AS BIGINT) AS \"FLOPS\" FROM range(1, 13) JOIN (VALUES (0, 4, 3), (1, 2, 1), (2, 3, 1), (3, 3, 1)) v(part, cols, models) ON (range - 1) // 3 = part"),
     "report_run": sql(["nk", "pt", "mo"], f"SELECT {_LABEL} AS \"TENSOR_MODES\", CAST(range AS INT) AS \"KTENSOR_ID\", CAST(1 + range // 2 AS INT) AS \"KTENSOR_COMP\", 'unconstrained' AS \"UPDATE_METHOD\", CAST(3 AS INT) AS \"MAX_ITERS\", CAST(3 AS INT) AS \"ITER\", CAST((1 + range // 2) * {_FLOPS} AS BIGINT) AS \"FLOPS\" FROM range(6)"),
 }
+
+
+def _evicted() -> str:
+    """Models of ranks 1, 2 and 2 that leave after one, two and three sweeps."""
+    made = [Sweeps(rank, *SALES, model=model, prefix=f"m{model}").run(sweeps) for model, rank, sweeps in ((0, 1, 1), (1, 2, 2), (2, 2, 3))]
+    rows = [f"SELECT {k} AS model_id, {t} AS iters, error FROM {one.error}" for k, (one, t) in enumerate(zip(made, (1, 2, 3), strict=True))]
+    return sql(["tensor"], f"SELECT CAST(model_id AS INT) AS model_id, CAST(iters AS INT) AS iters, {r('error', 4)} AS error FROM ({' UNION ALL '.join(rows)})", [x for one in made for x in one.out])
+
+
+def _tolerated() -> str:
+    """Rank 1 from two starts: the first sweep at which the fit changes by less than 0.01, of four written out."""
+    made, rows = [], []
+    for model in (0, 1):
+        one = Sweeps(1, *SALES, model=model, prefix=f"m{model}")
+        for t in range(1, 5):
+            one.sweep(str(t), t == 1)
+            rows.append(f"SELECT {model} AS model_id, {t} AS iters, error FROM {one.error}")
+        made += one.out
+    fits = "SELECT *, 1 - error / (SELECT sqrt(sum(val * val)) FROM tensor) AS fit FROM h"
+    steps = f"SELECT *, abs(fit - lag(fit, 1, 0.0) OVER (PARTITION BY model_id ORDER BY iters)) AS moved FROM ({fits})"
+    return sql(["tensor"], f"SELECT CAST(model_id AS INT) AS model_id, CAST(min(iters) AS INT) AS iters, 'converged' AS status, {r('arg_min(error, iters)', 4)} AS error FROM ({steps}) WHERE moved < 0.01 GROUP BY model_id", [*made, ("h", " UNION ALL ".join(rows))])
+
+
+ORACLES |= {
+    "report_csv": ORACLES["report_run"],
+    "lut_files": ORACLES["lut_best_method"],
+    "tensor_text": ORACLES["tensor_from_table"],
+    "table_function": ORACLES["als_rank2_factors"],
+    "als_evict_first": _evicted(),
+    "als_to_tolerance": _tolerated(),
+    "jk_align": sql(["sizes"], f"SELECT mode, row, comp, {r('val', 6)} AS val FROM f UNION ALL SELECT CAST(-1 AS INT), CAST(0 AS INT), CAST(range AS INT), 5.0 + range FROM range(3)", F3),
+}

@@ -652,3 +652,70 @@ def report_run(s, d):
     x, m, models, params = _queued(s, d)
     r = reports.als_report(als.cp_als_many(x, m, models, params), m, params, 1)
     return r.select("TENSOR_MODES", "KTENSOR_ID", "KTENSOR_COMP", "UPDATE_METHOD", "MAX_ITERS", "ITER", "FLOPS")
+
+
+@query
+def report_csv(s, d):
+    """That report written to files and read by its schema."""
+    x, m, models, params = _queued(s, d)
+    reports.write_csv(reports.als_report(als.cp_als_many(x, m, models, params), m, params, 1), path := tensors.scratch(s, "report"))
+    r = reports.read_csv(s, path, reports.als_schema(3))
+    return r.select("TENSOR_MODES", "KTENSOR_ID", "KTENSOR_COMP", "UPDATE_METHOD", "MAX_ITERS", "ITER", "FLOPS")
+
+
+@query
+def lut_files(s, d):
+    """The best methods of a benchmark written as look-up tables and read again."""
+    best = planner.best_method(_bench(s)).select(F.lit("25-6-12").alias("modes"), F.lit(1).alias("threads"), "mode", "rank", "method")
+    reports.write_lut(best, path := tensors.scratch(s, "tables"))
+    found = reports.read_lut(s, path, "25-6-12", 1)
+    return s.createDataFrame([(n, r, k) for n, table in found.items() for r, k in table.items()], "mode int, rank int, method int")
+
+
+@query
+def tensor_text(s, d):
+    """The sales tensor written as text and read again."""
+    x, m = sales(s, d)
+    tensors.write_text(x, m, path := tensors.scratch(s, "tensor"))
+    return out(tensors.read_text(s, path)[0], 2)
+
+
+@query
+def table_function(s, d):
+    """`cp_als` called from SQL."""
+    from polyad.functions.udtf import register
+
+    register(s)
+    sales(s, d)[0].createOrReplaceTempView("polyad_sales")
+    r = s.sql("SELECT mode, row, comp, val FROM cp_als(TABLE(SELECT * FROM polyad_sales) WITH SINGLE PARTITION, 2, 3)")
+    return out(r, 5)
+
+
+@query
+def als_to_tolerance(s, d):
+    """Models stop by themselves once the fit changes by less than the tolerance."""
+    x, m = sales(s, d)
+    r = als.cp_concurrent(x, m, als.model_list(s, [(0, 1, None), (1, 1, None)]), als.Params(max_iterations=50, tol=0.01))
+    return out(als.models_of(r).select("model_id", "iters", "status", "error"), 4)
+
+
+@query
+def als_evict_first(s, d):
+    """The model in the first columns leaves after each sweep."""
+    x, m = sales(s, d)
+    r = als.cp_concurrent(x, m, als.model_list(s, [(0, 1, None), (1, 2, None), (2, 2, None)]), als.Params(max_iterations=50, force_max_iter=True, always_evict_first=True, buffer_size=5))
+    return out(als.models_of(r).select("model_id", "iters", "error"), 4)
+
+
+@query
+def jk_align(s, d):
+    """Components in another order are put back in that of the reference, weights included."""
+    import numpy as np
+
+    from polyad.functions import kernels as K
+
+    lam, reference = K.sine_model(sales(s, d)[1].modes, 3)
+    order = [2, 0, 1]
+    lam, moved = K.align(reference, np.array([5.0, 6.0, 7.0])[order], [f[:, order] for f in reference])
+    rows = [(n, i, c, float(v)) for n, f in enumerate(moved) for i, r in enumerate(f) for c, v in enumerate(r)] + [(-1, 0, c, float(v)) for c, v in enumerate(lam)]
+    return out(s.createDataFrame(rows, "mode int, row int, comp int, val double"))

@@ -54,6 +54,31 @@ def read_text(spark: SparkSession, path: str) -> tuple[DataFrame, TensorMeta]:
     return values.select(*cols, F.col("v").cast("double").alias("val")), meta
 
 
+def write_text(df: DataFrame, meta: TensorMeta, path: str) -> None:
+    """A dense tensor as `read_text` reads it: a folder with the header in its first file and values in order."""
+    from polyad.operators.algebra import linear
+
+    spark = df.sparkSession
+    cells = grid(spark, meta.modes).join(df.select(*meta.index_columns, "val"), meta.index_columns, "left")
+    place = linear(meta.index_columns, list(meta.modes)).alias("at")
+    values = cells.select(place, F.coalesce("val", F.lit(0.0)).cast("string").alias("value"))
+    head = spark.createDataFrame([(-1, " ".join(map(str, meta.modes)))], "at bigint, value string")
+    head.unionByName(values).repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for files that a job writes and reads again, in the folder that the session names for checkpoints."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="polyad-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def domain(df: DataFrame, column: Column, most: int = 100_000) -> list:
     """Sorted distinct values of a dimension; a mode of a dense tensor has to be small, and this checks it."""
     found = [r.v for r in df.select(column.alias("v")).where("v is not null").distinct().limit(most + 1).collect()]
