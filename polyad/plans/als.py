@@ -182,7 +182,7 @@ def fit_fused(
                 raise ValueError("a model is wider than the buffer")
             if not buffer.add(waiting.id, waiting.factors):
                 break
-            waiting.iters, waiting.status = 1, "active"
+            waiting.iters, waiting.status = waiting.iters + 1, "active"  # a model that has been fitted before goes on
             waiting.active = waiting.active or [np.ones(f.shape, bool) for f in waiting.factors]
             waiting.refresh()
             resident.append(waiting)

@@ -15,6 +15,7 @@ from polyad.operators import algebra as A
 from polyad.plans import als, compare, jackknife, planner
 from polyad.schema import TensorMeta
 from polyad.sources import reports, tensors
+from polyad.streaming import queue
 from polyad.streaming.queue import fit_stream, read_models
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -248,6 +249,24 @@ def test_stream_of_models(spark, x, tmp_path):
     assert got == pytest.approx(want)
 
 
+def test_sweeps_in_several_batches(spark, x, tmp_path):
+    df, meta = x
+    (tmp_path / "in").mkdir()
+    asked = [[(0, 2, 5, 3), (1, 3, 6, 2)], [(0, 2, 5, 4)], [(1, 3, 6, 1), (2, 1, 7, 2), (0, 2, 5, 1)]]
+    seen = {}
+
+    def keep(batch, number):
+        seen.update({r.model_id: (r.components, r.iters, r.error) for r in batch.collect()})
+
+    for i, rows in enumerate(asked):
+        (tmp_path / f"in/{i}.json").write_text("\n".join(json.dumps(dict(zip(("model_id", "components", "seed", "sweeps"), r))) for r in rows))
+        stream = queue.refine(df, meta, spark.readStream.schema(queue.REQUESTS).json(str(tmp_path / "in")))
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    for model, components, seed, sweeps in ((0, 2, 5, 8), (1, 3, 6, 3), (2, 1, 7, 2)):
+        want = als.models_of(als.cp_concurrent(df, meta, als.model_list(spark, [(model, components, seed)]), als.Params(max_iterations=sweeps, force_max_iter=True))).first()
+        assert seen[model] == (components, sweeps, pytest.approx(want.error, abs=1e-9))
+
+
 def test_table_function(spark, x):
     df, meta = x
     register(spark)
