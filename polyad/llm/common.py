@@ -79,8 +79,8 @@ def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], total: int, ho
     if hot.isEmpty():
         return rows.join(unique.drop("n"), keys, how)
     rest = unique.where(F.col("n") * share < total).drop("n")
-    few = F.broadcast(hot)
-    return rows.join(few, keys, how).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how))
+    first = rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how)
+    return first.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

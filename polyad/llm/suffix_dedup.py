@@ -378,12 +378,13 @@ def repeated(texts: DataFrame, length: int = 200, crowd: int = 20_000) -> DataFr
     shared = materialize(join_hot(anchors, by_anchor, ["k"], total), "shared")
     mixed = shared.where("not same")
     runs = materialize(mixed.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "s", "e")).alias("one")), "runs")
-    crowds = runs.groupBy("k").agg(F.count("*").alias("d")).where(F.col("d") > crowd).select("k", F.lit(True).alias("crowded"))
+    crowds = materialize(runs.groupBy("k").agg(F.count("*").alias("n")).select("k", "n", (F.col("n") > crowd).alias("crowded")), "anchors-of-runs")
     again = runs.where("n > 1").select("k", "c", "n")
     total = again.agg(F.sum("n")).first()[0] or 0
     repeats = join_hot(mixed, again, ["k", "c"], total, "left_semi")
     whole = shared.where("same").select("doc_id", "h", "s", "e").unionAll(repeats.select("doc_id", "h", "s", "e"))
-    need = runs.join(crowds, "k", "left").select("one.*", "k", F.coalesce("crowded", F.lit(False)).alias("crowded"), (F.col("n") > 1).alias("again"))
+    several = crowds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    need = join_hot(runs, crowds, ["k"], several).select("one.*", "k", "crowded", (F.col("n") > 1).alias("again"))
     need = need.groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e", "k", "crowded", "again")).alias("need"))
     parts = 2 * shuffle_partitions(spark)
     edges = _merged(_sorted_runs(texts.join(need, ["doc_id", "h"]).select("doc_id", "h", "data", "need"), length, parts), length, parts)
