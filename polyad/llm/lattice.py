@@ -36,6 +36,8 @@ from polyad.llm.tokenizer import default_path
 
 FREQUENT = 1 << 18
 _MARK = "▁"
+#: Endings of up to so many characters are kept, so many at once.
+_TAIL, _MOST_TAILS = 7, 400_000
 
 
 @functools.cache
@@ -54,19 +56,20 @@ class Lattice:
     """Scores words; `logs` are natural logarithms of the pieces' probabilities."""
 
     def __init__(self, names: list[str], logs: list[float]):
-        self.edges: dict[str, tuple[int, float] | None] = {}
+        self.edges: dict[str, tuple[int, float, float] | None] = {}  # number, logarithm, probability
         self.bytes: list[tuple[int, float]] = [(0, 0.0)] * 256
+        self.tails: dict[str, float] = {}
         for i, (name, log) in enumerate(zip(names, logs, strict=True)):
             if name.startswith("<0x"):
                 self.bytes[int(name[3:5], 16)] = (i, log)
                 continue
             for end in range(1, len(name)):
                 self.edges.setdefault(name[:end], None)
-            self.edges[name] = (i, log)
+            self.edges[name] = (i, log, math.exp(log))
 
     def forward(self, text: str) -> tuple[list[float], list[list]]:
         """Log probabilities of all prefixes, and for each end the edges (start, pieces, log) that reach it."""
-        n, edges = len(text), self.edges
+        n, edges = len(text), self.edges.get
         into: list[list] = [[] for _ in range(n + 1)]
         alpha = [0.0] * (n + 1)
         log, exp = math.log, math.exp
@@ -78,48 +81,92 @@ class Lattice:
                 else:
                     top = max(terms)
                     alpha[i] = top + log(sum([exp(t - top) for t in terms]))
-            single = edges.get(text[i])
-            if single is None:  # a character without a piece of its own is spelt in bytes
+            found = edges(text[i], 0)
+            if found:
+                into[i + 1].append((i, found[0], found[1]))
+            else:  # a character without a piece of its own is spelt in bytes
                 spelt = [self.bytes[b] for b in text[i].encode()]
                 into[i + 1].append((i, [p for p, _ in spelt], sum(w for _, w in spelt)))
-            for j in range(i + 1, n + 1):
-                found = edges.get(text[i:j], 0)
-                if found == 0:
-                    break
-                if found:
-                    into[j].append((i, found[0], found[1]))
+            if found != 0:
+                for j in range(i + 2, n + 1):
+                    found = edges(text[i:j], 0)
+                    if found:
+                        into[j].append((i, found[0], found[1]))
+                    elif found == 0:
+                        break
         terms = [alpha[s] + w for s, _, w in into[n]]
         top = max(terms)
         alpha[n] = top + log(sum([exp(t - top) for t in terms]))
         return alpha, into
 
     def word(self, word: str) -> float:
-        """Natural logarithm of a word's marginal probability: `forward` without its edges."""
-        text, edges, log, exp = _MARK + word, self.edges.get, math.log, math.exp
+        """Natural logarithm of a word's marginal probability: the recursion of `forward` from the other end, so that
+        endings which words share are summed once and kept."""
+        text, edges, tails, log, log1p, exp = _MARK + word, self.edges.get, self.tails, math.log, math.log1p, math.exp
         n = len(text)
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        into[0].append(0.0)
-        for i in range(n + 1):
-            terms = into[i]
+        beta = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            if n - i <= _TAIL:
+                known = tails.get(text[i:])
+                if known is not None:
+                    beta[i] = known
+                    continue
+            found = edges(text[i], 0)
+            terms = [beta[i + 1] + (found[1] if found else sum([self.bytes[b][1] for b in text[i].encode()]))]
+            if found != 0:
+                for j in range(i + 2, n + 1):
+                    found = edges(text[i:j], 0)
+                    if found:
+                        terms.append(beta[j] + found[1])
+                    elif found == 0:
+                        break
             if len(terms) == 1:
-                alpha = terms[0]
+                beta[i] = terms[0]
+            elif len(terms) == 2:
+                x, y = terms
+                beta[i] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
             else:
                 top = max(terms)
-                alpha = top + log(sum([exp(t - top) for t in terms]))
-            if i == n:
-                return alpha
-            if edges(text[i]) is None:
-                into[i + 1].append(alpha + sum([self.bytes[b][1] for b in text[i].encode()]))
-            for j in range(i + 1, n + 1):
-                found = edges(text[i:j], 0)
-                if found == 0:
-                    break
-                if found:
-                    into[j].append(alpha + found[1])
+                beta[i] = top + log(sum([exp(t - top) for t in terms]))
+            if n - i <= _TAIL:
+                if len(tails) >= _MOST_TAILS:
+                    tails.clear()
+                tails[text[i:]] = beta[i]
+        return beta[0]
 
     def expect(self, word: str, count: float, into_counts: list[float]) -> None:
         """Add the expected piece counts of a word that occurs `count` times."""
-        alpha, into = self.forward(_MARK + word)
+        text, edges = _MARK + word, self.edges.get
+        n = len(text)
+        alpha = [1.0] + [0.0] * n
+        into: list[list] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            a, found = alpha[i], edges(text[i], 0)
+            if not found:  # spelt in bytes
+                self._expect_in_logs(text, count, into_counts)
+                return
+            into[i + 1].append((i, found[0], found[2]))
+            alpha[i + 1] += a * found[2]
+            for j in range(i + 2, n + 1):
+                found = edges(text[i:j], 0)
+                if found:
+                    into[j].append((i, found[0], found[2]))
+                    alpha[j] += a * found[2]
+                elif found == 0:
+                    break
+        if alpha[n] < 1e-250:  # too long for plain probabilities
+            self._expect_in_logs(text, count, into_counts)
+            return
+        beta = [0.0] * n + [count / alpha[n]]
+        for j in range(n, 0, -1):
+            mass = beta[j]
+            for s, piece, p in into[j]:
+                share = p * mass
+                beta[s] += share
+                into_counts[piece] += alpha[s] * share
+
+    def _expect_in_logs(self, text: str, count: float, into_counts: list[float]) -> None:
+        alpha, into = self.forward(text)
         n = len(alpha) - 1
         beta = [0.0] * n + [count]  # scaled: posterior mass of each place
         exp = math.exp
@@ -149,9 +196,8 @@ def word_counts(rows: DataFrame, most: int = 250_000) -> DataFrame:
         held_counts: Counter = Counter()
 
         def taken():
-            words = list(counts | held_counts)
-            c, t = [counts[w] for w in words], [counts[w] + held_counts[w] for w in words]
-            rows = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array(t, pa.int64())], ["word", "c", "t"])
+            c, t = list(counts.values()), list(held_counts.values())
+            rows = pa.RecordBatch.from_arrays([pa.array([*counts, *held_counts], pa.binary()).cast(pa.string()), pa.array(c + [0] * len(t), pa.int64()), pa.array(c + t, pa.int64())], ["word", "c", "t"])
             counts.clear()
             held_counts.clear()
             return rows
@@ -211,15 +257,15 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     path = path or default_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out_col(id_col).alias("held_out"))
     parts = shuffle_partitions(docs.sparkSession)
-    words = materialize(word_counts(rows).repartition(parts), "words")  # dealt evenly: scoring takes far longer than reading
+    words = materialize(word_counts(rows), "words")
     documents = rows.where("not held_out").count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     n, v = sums.n + documents, sums.v + (documents > 0)
     share = math.log10(n + v + 1)
     common = (F.col("t") * FREQUENT >= sums.t * F.ceil(F.length("word") / 64)) & (F.col("t") > 1)
     often = materialize(words.where(common).where("c > 0").repartition(parts), "frequent")
-    _, logs, end = train(words.where("c > 0"), often, documents, path, warm)
-    known = materialize(word_scores(words, path, logs), "scores")
+    _, logs, end = train(words.where("c > 0").repartition(parts), often, documents, path, warm)  # dealt evenly: a word takes far longer to score than to read
+    known = materialize(word_scores(words.repartition(parts), path, logs), "scores")
     frequent = {r.word: (r.c, r.p) for r in known.where(common).collect()}
     session = docs.sparkSession.sparkContext
     sent = session.broadcast(frequent)
