@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.llm.common import materialize, table
+from polyad.llm.common import join_hot, materialize, table
 from polyad.llm.components import components
 
 BITS = 64
@@ -305,8 +305,8 @@ def _rest(crowded: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: fl
     parts = named.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
     sizes = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "component", "m")).alias("most")).where("most.n < n")
     blocks = lambda n, m: F.ceil(F.greatest(n / block, m / most_grams)).cast("int")
-    sizes = sizes.select("band", "key", F.col("most.component").alias("most"), blocks(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m")).alias("nr"), blocks(F.col("most.n"), F.col("most.m")).alias("ng"))
-    members = named.join(materialize(sizes, "open"), ["band", "key"]).withColumn("rest", F.col("component") != F.col("most"))
+    sizes = sizes.select("band", "key", "n", F.col("most.component").alias("most"), blocks(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m")).alias("nr"), blocks(F.col("most.n"), F.col("most.m")).alias("ng"))
+    members = join_hot(named, materialize(sizes, "open"), ["band", "key"], named.count()).withColumn("rest", F.col("component") != F.col("most"))
     own = F.when(F.col("rest"), F.expr("pmod(xxhash64(node), nr)")).otherwise(F.expr("nr + pmod(xxhash64(node), ng)")).cast("int")
     meets = F.when(F.col("rest"), F.expr("sequence(0, nr + ng - 1)")).otherwise(F.expr("sequence(0, nr - 1)"))
     tasks = members.withColumn("own", own).select("band", "key", "node", "own", F.explode(meets).alias("other"))
@@ -352,8 +352,8 @@ def similar(nodes: DataFrame, similarity: float = 0.8, bucket: int = 64, *, know
         return _verified(materialize(tried.distinct(), "tried"), nodes, similarity)
     scores = crowded.groupBy("node").agg(F.sum("n").alias("score"))
     crowded = materialize(crowded.join(scores, "node"), "crowded")
-    ones = crowded.groupBy("band", "key").agg(F.max(F.struct("score", "node", "m")).alias("one"))
-    stars = crowded.join(ones, ["band", "key"]).where((F.col("node") != F.col("one.node")) & sized(F.col("m"), F.col("one.m"))).select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b"))
+    ones = materialize(crowded.groupBy("band", "key").agg(F.max(F.struct("score", "node", "m")).alias("one"), F.count("*").alias("n")), "ones")
+    stars = join_hot(crowded.drop("n"), ones, ["band", "key"], crowded.count()).where((F.col("node") != F.col("one.node")) & sized(F.col("m"), F.col("one.m"))).select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b"))
     tried = materialize(tried.unionAll(stars).distinct(), "tried")
     found = materialize(_verified(tried, nodes, similarity), "similar")
     return found.unionAll(_rest(crowded.select("band", "key", "node", "m"), nodes, found if known is None else found.unionAll(known), similarity, block))
