@@ -301,6 +301,7 @@ def spread(factors: DataFrame, keys: list[str]) -> DataFrame:
     return factors.groupBy(*keys, "mode", "row", "comp").agg(F.stddev_samp("val").alias("std"))
 
 
-def best_per_rank(models: DataFrame) -> DataFrame:
-    """The model of least error for each number of components; the earliest of equals."""
-    return models.groupBy("components").agg(F.min_by("model_id", F.struct("error", "model_id")).alias("model_id"), F.min("error").alias("error"))
+def best_per_rank(models: DataFrame, digits: int | None = None) -> DataFrame:
+    """The model of least error for each number of components; the earliest of equals. With `digits`, errors count and are returned to so many places."""
+    error = (F.col("error") if digits is None else F.round("error", digits)).alias("error")
+    return models.groupBy("components").agg(F.min_by("model_id", F.struct(error, "model_id")).alias("model_id"), F.min(error).alias("error"))

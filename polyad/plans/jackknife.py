@@ -110,10 +110,10 @@ def jackknife_by_deletion(x: DataFrame, meta: S.TensorMeta, references: DataFram
     return tagged.groupBy("model_id").applyInPandas(run, RESULT.replace("model_id int", "ref_id int, model_id int", 1))
 
 
-def hybrid(x: DataFrame, meta: S.TensorMeta, models: DataFrame, ranks: list[int], params: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
-    """Fit many models, take the best of each rank, jackknife those of `ranks`: (all, best, replicas)."""
+def hybrid(x: DataFrame, meta: S.TensorMeta, models: DataFrame, ranks: list[int], params: Params = Params(), digits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
+    """Fit many models, take the best of each rank, jackknife those of `ranks`: (all, best, replicas). With `digits`, errors that agree to so many places are equal."""
     fitted = cp_concurrent(x, meta, models, params).persist()
-    best = best_per_rank(fitted.select("model_id", "components", "error")).withColumnRenamed("error", "best_error")
+    best = best_per_rank(fitted.select("model_id", "components", "error"), digits).withColumnRenamed("error", "best_error")
     chosen = fitted.join(F.broadcast(best.select("model_id")), "model_id")  # one row for each rank
     return fitted, best, jackknife(x, meta, chosen.where(F.col("components").isin(ranks)), replace(params))
 

@@ -471,10 +471,10 @@ def hybrid_best_per_rank(s, d):
 
 @query
 def hybrid_fit(s, d):
-    """The best of each rank among fitted models; replicas of them are `jk_*`."""
+    """The best of each rank among fitted models, by errors as reported: to four digits, the earliest of equals. Replicas of them are `jk_*`."""
     x, m = sales(s, d)
     models = als.model_list(s, [(0, 1, None), (1, 1, None), (2, 2, None), (3, 2, None)])
-    _, best, _ = jackknife.hybrid(x, m, models, [1], als.Params(max_iterations=2, force_max_iter=True))
+    _, best, _ = jackknife.hybrid(x, m, models, [1], als.Params(max_iterations=2, force_max_iter=True), digits=4)
     return out(best.select("components", "model_id", F.col("best_error").alias("error")), 4)
 
 

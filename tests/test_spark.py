@@ -98,6 +98,40 @@ def test_hybrid_and_jackknife(spark, x):
     assert spread.count() == (5 + 6) * 2 and spread.where("std is null or std < 0").count() == 0
 
 
+def test_hybrid_takes_errors_to_the_digits_it_reports(spark, tmp_path):
+    """Models 0 and 1 have errors of 191.304411 and 191.304407: equal to four digits, so the earlier is the best, as in SQL."""
+    import duckdb
+    import pandas as pd
+
+    from polyad.oracles import ORACLES
+    from polyad.queries import QUERIES, sales
+
+    rng = np.random.default_rng(168)
+    a, b, c = (rng.integers(10, 20, size) for size in (4, 3, 12))
+    cells = np.multiply.outer(np.multiply.outer(a, b), c) + rng.integers(0, 60, (4, 3, 12)).astype(float)
+    i, j, k = (at.ravel() for at in np.indices(cells.shape))
+    tables = {
+        "nation": pd.DataFrame({"n_nationkey": np.arange(4, dtype=np.int32), "n_regionkey": np.zeros(4, np.int32)}),
+        "supplier": pd.DataFrame({"s_suppkey": np.arange(4), "s_nationkey": np.arange(4, dtype=np.int32)}),
+        "part": pd.DataFrame({"p_partkey": np.arange(3), "p_type": ["ECONOMY", "PROMO", "STANDARD"]}),
+        "lineitem": pd.DataFrame({"l_suppkey": i, "l_partkey": j, "l_shipdate": [pd.Timestamp(2000, m + 1, 15) for m in k], "l_quantity": cells.ravel()}),
+    }
+    with duckdb.connect() as db:
+        for name, table in tables.items():
+            table.to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+        wanted = sorted(db.execute(ORACLES["hybrid_fit"]).fetchall())
+    assert [row[1] for row in wanted] == [0, 3]
+    assert sorted(map(tuple, QUERIES["hybrid_fit"](spark, str(tmp_path)).collect())) == wanted
+    # the replicas are those of the model that is named as the best; without digits the least error decides
+    df, meta = sales(spark, str(tmp_path))
+    models = als.model_list(spark, [(0, 1, None), (1, 1, None)])
+    params = als.Params(max_iterations=2, force_max_iter=True)
+    for digits, least in ((4, 0), (None, 1)):
+        _, best, replicas = jackknife.hybrid(df, meta, models, [1], params, digits)
+        assert best.first().model_id == least and {r.ref_id for r in replicas.collect()} == {least}
+
+
 def test_reports_and_tables(spark, tmp_path):
     best = spark.createDataFrame([("3-4-5", 2, m, r, (m + r) % 3) for m in range(3) for r in (1, 2, 8)], "modes string, threads int, mode int, rank int, method int")
     reports.write_lut(best, str(tmp_path / "lut"))
